@@ -18,6 +18,7 @@ in the order of a hash of their text, then of the text; an empty table gives no
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 import zlib
@@ -90,22 +91,28 @@ def from_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(x) if k else None for x, k in zip(numbers, known)], lengths, unpack(table, control, data, tokens)
 
 
-def hf_encoder(path: str):
-    """Batch encoder of a file of the tokenizers library; strings of special tokens in a text are ordinary text."""
+@functools.cache
+def hf_memo(path: str) -> Memo:
+    """Memo over a file of the tokenizers library; strings of special tokens in a text are ordinary text.  A worker
+    process keeps it from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
+    begins = np.array([(tok.id_to_token(i) or "").startswith("\u0120") for i in range(tok.get_vocab_size(True))])
 
     def many(units):
-        out = []
-        for i in range(0, len(units), 4096):
-            out += [e.ids for e in batch(units[i : i + 4096], add_special_tokens=False)]
-        return out
+        return [e.ids for i in range(0, len(units), 4096) for e in batch(units[i : i + 4096], add_special_tokens=False)]
 
-    return many
+    def spaced(words):
+        """Many words in one call: of a word's tokens the first one begins with the space, and no other does."""
+        joined = [" " + " ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for i in range(0, len(joined), 64) for e in batch(joined[i : i + 64], add_special_tokens=False)])
+        return ids, np.diff(np.append(np.flatnonzero(begins[ids]), len(ids)))
+
+    return Memo(many, spaced)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 4_000_000) -> DataFrame:
@@ -114,7 +121,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     def write(batches):
         from pyspark import TaskContext
 
-        part, memo, number = TaskContext.get().partitionId(), Memo(hf_encoder(tokenizer)), 0
+        part, memo, number = TaskContext.get().partitionId(), hf_memo(tokenizer), 0
         held_docs, held_lengths, held_ids, held = [], [], [], 0
 
         def flush():

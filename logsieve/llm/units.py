@@ -9,15 +9,30 @@ import re
 
 import numpy as np
 
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^\s|\s\Z")
+#: White space other than space and newline, as Python's str.isspace() has it.
+_OTHER_SPACE = [chr(i) for i in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
+def plain(text: str) -> bool:
+    """Whether all its white space is single spaces and newlines between two non-spaces."""
+    if text[0] in " \n" or text[-1] in " \n":
+        return False
+    for x in _RUNS:
+        if x in text:
+            return False
+    for x in _OTHER_SPACE[:8] if text.isascii() else _OTHER_SPACE:
+        if x in text:
+            return False
+    return True
+
+
 def word_units(text: str) -> list[str]:
     """Units whose concatenation is text."""
     if not text:
         return []
-    if _ODD.search(text):
+    if not plain(text):
         return _SAFE.split(text)
     out = []
     for i, line in enumerate(text.split("\n")):
@@ -30,54 +45,73 @@ def word_units(text: str) -> list[str]:
 
 
 class Memo:
-    """Token ids of units.  `most` bounds the number of units held; beyond it the memo starts anew."""
+    """Token ids of units.  `most` bounds the number of units held; beyond it the memo starts anew.
+
+    encode_many(units) gives a list of ids for each unit.  encode_spaced(words) gives (ids of all, lengths) for units
+    that are a space and a word without white space."""
 
     class _Numbers(dict):
-        def __init__(self):
+        """Word to unit number; new words get the next one."""
+
+        def __init__(self, memo):
             super().__init__()
-            self.fresh: list[str] = []
+            self.memo, self.fresh, self.fresh_numbers = memo, [], []
 
-        def __missing__(self, unit):
-            n = self[unit] = len(self)
-            self.fresh.append(unit)
+        def __missing__(self, word):
+            n = self[word] = self.memo.count
+            self.memo.count += 1
+            self.fresh.append(word)
+            self.fresh_numbers.append(n)
             return n
 
-    def __init__(self, encode_many, most: int = 600_000):
+    def __init__(self, encode_many, encode_spaced=None, most: int = 900_000):
         self.encode_many, self.most = encode_many, most
+        self.encode_spaced = encode_spaced or (lambda words: _flat(encode_many([" " + w for w in words])))
         self._clear()
 
     def _clear(self):
-        self.numbers = self._Numbers()
+        self.count = 0
+        self.other, self.spaced = self._Numbers(self), self._Numbers(self)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
-    def _learn(self):
-        fresh, self.numbers.fresh = self.numbers.fresh, []
-        if not fresh:
+    def _learn(self, numbers, encode):
+        if not numbers.fresh:
             return
-        lists = self.encode_many(fresh)
-        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(sizes.sum()))
-        n = len(self.numbers) - len(fresh)
-        while len(self.at) < len(self.numbers):
+        ids, sizes = encode(numbers.fresh)
+        where = np.array(numbers.fresh_numbers)
+        numbers.fresh, numbers.fresh_numbers = [], []
+        while len(self.at) < self.count:
             self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
-        while len(self.ids) < self.used + len(flat):
+        while len(self.ids) < self.used + len(ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.size[n : n + len(fresh)] = sizes
-        self.at[n : n + len(fresh)] = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
-        self.used += len(flat)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[where] = sizes
+        self.at[where] = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.used += len(ids)
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has (with the end id)."""
-        if len(self.numbers) > self.most:
+        if self.count > self.most:
             self._clear()
-        number, counts, units = self.numbers.__getitem__, [], []
+        other, spaced, counts, units, before = self.other.__getitem__, self.spaced.__getitem__, [], [], 0
+        newline = other("\n")
         for text in texts:
-            u = word_units(text)
-            units.extend(map(number, u))
-            counts.append(len(u))
-        self._learn()
+            if not text:
+                pass
+            elif plain(text):
+                for i, line in enumerate(text.split("\n")):
+                    if i:
+                        units.append(newline)
+                    first, *rest = line.split(" ")
+                    units.append(other(first))
+                    units.extend(map(spaced, rest))
+            else:
+                units.extend(map(other, _SAFE.split(text)))
+            counts.append(len(units) - before)
+            before = len(units)
+        self._learn(self.other, lambda u: _flat(self.encode_many(u)))
+        self._learn(self.spaced, self.encode_spaced)
         units = np.array(units, np.int64)
         sizes = self.size[units].astype(np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)])
@@ -88,3 +122,8 @@ class Memo:
             ids = np.insert(ids, np.cumsum(lengths), end_id)
             lengths = lengths + 1
         return ids, lengths
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+    return np.fromiter((i for ids in lists for i in ids), np.int32, int(sizes.sum())), sizes
