@@ -39,5 +39,28 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, _documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_token_files": op7_token_files}
-ORACLE_SQL = {"op3_exact_dedup": SQL_OP3}
+@shipped
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import warc_round_trip
+
+    return warc_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+SQL_OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM q
+"""
+
+
+@shipped
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_warc_zip": op1_warc_zip, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op7_token_files": op7_token_files}
+ORACLE_SQL = {"op1_warc_zip": SQL_OP1, "op3_exact_dedup": SQL_OP3}
