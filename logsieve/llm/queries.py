@@ -62,5 +62,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_warc_zip": op1_warc_zip, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op7_token_files": op7_token_files}
+@shipped
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_warc_zip": op1_warc_zip, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op7_token_files": op7_token_files,
+    "op8_near_duplicates": op8_near_duplicates,
+}
 ORACLE_SQL = {"op1_warc_zip": SQL_OP1, "op3_exact_dedup": SQL_OP3}
