@@ -69,8 +69,22 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+@shipped
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import encode_texts
+
+    return encode_texts(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+@shipped
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import benchmark_hits
+
+    return benchmark_hits(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_warc_zip": op1_warc_zip, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op7_token_files": op7_token_files,
-    "op8_near_duplicates": op8_near_duplicates,
+    "op8_near_duplicates": op8_near_duplicates, "op4_sentencepiece": op4_sentencepiece, "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {"op1_warc_zip": SQL_OP1, "op3_exact_dedup": SQL_OP3}

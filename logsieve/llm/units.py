@@ -48,7 +48,8 @@ class Memo:
     """Token ids of units.  `most` bounds the number of units held; beyond it the memo starts anew.
 
     encode_many(units) gives a list of ids for each unit.  encode_spaced(words) gives (ids of all, lengths) for units
-    that are a space and a word without white space."""
+    that are a space and a word without white space.  first_spaced: the first word of a text is such a unit too; split
+    cuts texts that are not plain."""
 
     class _Numbers(dict):
         """Word to unit number; new words get the next one."""
@@ -64,8 +65,8 @@ class Memo:
             self.fresh_numbers.append(n)
             return n
 
-    def __init__(self, encode_many, encode_spaced=None, most: int = 900_000):
-        self.encode_many, self.most = encode_many, most
+    def __init__(self, encode_many, encode_spaced=None, most: int = 900_000, first_spaced: bool = False, split=_SAFE.split):
+        self.encode_many, self.most, self.first_spaced, self.split = encode_many, most, first_spaced, split
         self.encode_spaced = encode_spaced or (lambda words: _flat(encode_many([" " + w for w in words])))
         self._clear()
 
@@ -95,19 +96,20 @@ class Memo:
         if self.count > self.most:
             self._clear()
         other, spaced, counts, units, before = self.other.__getitem__, self.spaced.__getitem__, [], [], 0
-        newline = other("\n")
+        newline, begin = other("\n"), spaced if self.first_spaced else other
         for text in texts:
             if not text:
                 pass
             elif plain(text):
                 for i, line in enumerate(text.split("\n")):
-                    if i:
-                        units.append(newline)
                     first, *rest = line.split(" ")
-                    units.append(other(first))
+                    if i:
+                        units += (newline, other(first))
+                    else:
+                        units.append(begin(first))
                     units.extend(map(spaced, rest))
             else:
-                units.extend(map(other, _SAFE.split(text)))
+                units.extend(map(other, self.split(text)))
             counts.append(len(units) - before)
             before = len(units)
         self._learn(self.other, lambda u: _flat(self.encode_many(u)))
