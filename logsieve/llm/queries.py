@@ -83,8 +83,73 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@shipped
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .language_id import identify
+
+    return identify(_documents(spark, sf_dir), declared=F.col("lang"), host=F.col("source"))
+
+
+#: Capture times and dated entries of op5, in Spark and in DuckDB: the tables hold neither.  A capture is fetched
+#: page_id * 7919 % 525600 minutes after the start of 2024.  Each host of the pages has a number k from its length and
+#: letters, and by it its own entries, those of its /en and /fr pages, or none; domains have entries too.
+_HOST_NUMBER = "(length(host) * 37 + ascii(substr(host, 2, 1)) * 11 + ascii(substr(host, 5, 1)) * 5) % 12"
+
+
+@shipped
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .url_filter import host_of, url_verdicts
+
+    start = F.expr("timestamp'2024-01-01 00:00:00'")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    captures = pages.withColumn("fetched", start + F.expr("make_dt_interval(0, 0, cast(page_id * 7919 % 525600 as int))"))
+    hosts = captures.select(host_of(F.col("url")).alias("host")).filter("host is not null").distinct().withColumn("k", F.expr(_HOST_NUMBER))
+    day = lambda x: start + F.expr(f"make_dt_interval({x})")
+    rule = lambda kind, pattern, action, at: F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), at.alias("at"))
+    host = F.col("host")
+    own = F.array(rule("host", host, "add", day("cast(k * 30 as int)")), rule("host", host, "remove", day("cast(k * 30 + 100 as int)")), rule("host", host, "add", day("300")))
+    deep = F.array(rule("prefix", F.concat(host, F.lit("/en")), "add", day("cast(k * 20 as int)")), rule("prefix", F.concat(host, F.lit("/fr")), "add", day("0")), rule("prefix", F.concat(host, F.lit("/fr")), "remove", day("200")))
+    entries = hosts.select(F.explode(F.when(F.col("k") < 4, own).when(F.col("k") < 8, deep).otherwise(F.slice(own, 1, 0))).alias("e")).select("e.*")
+    domains = hosts.select(F.substring_index("host", ".", -2).alias("host")).distinct().withColumn("k", F.expr("length(host) % 5"))
+    wide = F.array(rule("domain", host, "add", day("cast(k * 40 + 50 as int)")), rule("domain", host, "remove", day("cast(k * 40 + 90 as int)")))
+    entries = entries.unionByName(domains.select(F.explode(wide).alias("e")).select("e.*"))
+    return url_verdicts(captures, entries)
+
+
+SQL_OP5 = f"""
+WITH c AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 525600) AS fetched,
+                  nullif(regexp_replace(regexp_replace(regexp_extract(lower(url), '^[ ]*[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '') AS host,
+                  regexp_extract(url, '^[ ]*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1) AS path FROM pages),
+h AS (SELECT host, {_HOST_NUMBER} AS k FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)),
+d AS (SELECT host, length(host) % 5 AS k FROM (SELECT DISTINCT regexp_extract(host, '[^.]+[.][^.]+$') AS host FROM h)),
+e AS (SELECT 'host' AS kind, host AS pattern, k * 30 AS since, k * 30 + 100 AS until FROM h WHERE k < 4
+      UNION ALL SELECT 'host', host, 300, NULL FROM h WHERE k < 4
+      UNION ALL SELECT 'prefix', host || '/en', k * 20, NULL FROM h WHERE k BETWEEN 4 AND 7
+      UNION ALL SELECT 'prefix', host || '/fr', 0, 200 FROM h WHERE k BETWEEN 4 AND 7
+      UNION ALL SELECT 'domain', host, k * 40 + 50, k * 40 + 90 FROM d),
+i AS (SELECT kind, pattern, TIMESTAMP '2024-01-01' + to_days(CAST(since AS INTEGER)) AS since, TIMESTAMP '2024-01-01' + to_days(CAST(until AS INTEGER)) AS until FROM e),
+m AS (SELECT c.page_id, i.*, row_number() OVER (PARTITION BY c.page_id ORDER BY CASE i.kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END DESC, length(i.pattern) DESC) AS nth
+      FROM c JOIN i ON (i.kind = 'host' AND i.pattern = c.host OR i.kind = 'domain' AND (c.host = i.pattern OR ends_with(c.host, '.' || i.pattern))
+                        OR i.kind = 'prefix' AND starts_with(c.host || c.path || '/', i.pattern || '/'))
+                    AND c.fetched >= i.since AND (i.until IS NULL OR c.fetched < i.until))
+SELECT c.page_id, c.fetched, m.page_id IS NOT NULL AS blocked, m.kind, m.pattern, m.since FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.nth = 1
+"""
+
+
+@shipped
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotrain import quality_scores
+
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_warc_zip": op1_warc_zip, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op7_token_files": op7_token_files,
     "op8_near_duplicates": op8_near_duplicates, "op4_sentencepiece": op4_sentencepiece, "op10_decontamination": op10_decontamination,
+    "op6_language_id": op6_language_id, "op5_url_filter": op5_url_filter, "op9_quality": op9_quality,
 }
-ORACLE_SQL = {"op1_warc_zip": SQL_OP1, "op3_exact_dedup": SQL_OP3}
+ORACLE_SQL = {"op1_warc_zip": SQL_OP1, "op3_exact_dedup": SQL_OP3, "op5_url_filter": SQL_OP5}
