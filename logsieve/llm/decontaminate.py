@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shared, words
+from .units import forget
 
 WINDOW = 13
 #: 16 MB of hashes.
@@ -165,6 +166,7 @@ def _document_windows(docs: DataFrame, lengths: list[int], known) -> DataFrame:
     """doc_id, at, length, hash, slots of document windows; of those in `known` (a broadcast sorted array) if given."""
 
     def cut(batches):
+        forget()
         table = known.value if known is not None else None
         for batch in batches:
             for first, texts in words.parts(batch.column(1)):

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import shared, words
+from .units import forget
 
 TRAIN_ROWS = 4000
 MOST_LANGUAGES = 64
@@ -96,6 +97,7 @@ def text_scores(docs: DataFrame, tables: np.ndarray) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
 
     def score(batches):
+        forget()
         table = model.value
         for batch in batches:
             text_at = batch.schema.get_field_index("text")

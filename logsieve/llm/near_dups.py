@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import shared, words
 from .components import components
+from .units import forget
 
 BLOCK = 256
 _BASES = np.array([0x100000001B3, 0xC6A4A7935BD1E995], np.uint64)
@@ -89,6 +90,7 @@ def band_keys(grams: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.nd
 
 def _signatures(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
     def sign(batches):
+        forget()
         for batch in batches:
             for first, texts in words.parts(batch.column(1)):
                 hashes, at = words.word_hashes(words.lowered(texts))
@@ -109,6 +111,7 @@ def _gram_sets(docs: DataFrame, ngram: int) -> DataFrame:
     """cls and the sorted distinct n-gram hashes, as bytes."""
 
     def make(batches):
+        forget()
         for batch in batches:
             for _, texts in words.parts(batch.column(1)):
                 hashes, at = words.word_hashes(words.lowered(texts))

@@ -29,6 +29,8 @@ from . import words
 from .units import Memo
 
 MARK = "\u2581"
+#: Pairs of pieces that are remembered.
+PAIRS = 200_000
 _SPACES = re.compile("(?<=[^ ])(?= )")
 
 
@@ -120,7 +122,7 @@ class Pieces:
 
     def fits(self, a: str, b: str) -> bool:
         """follows(), remembered."""
-        if len(self.pairs) > 400_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         known = self.pairs[a, b] = self.follows(a, b)
         return known
@@ -186,8 +188,14 @@ class Pieces:
 class PieceMemo(Memo):
     """Memo over units of a text with a space put before it: so its first word is a spaced one."""
 
-    def __init__(self, pieces: Pieces, **options):
-        super().__init__(pieces.encode_words, first_spaced=True, split=lambda text: _SPACES.split(" " + text), **options)
+    def __init__(self, pieces: Pieces, most: int = 300_000):
+        self.pieces = pieces
+        super().__init__(pieces.encode_words, most=most, first_spaced=True, split=lambda text: _SPACES.split(" " + text))
+
+    def clear(self):
+        super().clear()
+        if len(self.pieces.pairs) > PAIRS // 2:
+            self.pieces.pairs.clear()
 
 
 @functools.cache

@@ -6,6 +6,7 @@ the byte-level pattern always starts a new token.  Texts with any other white sp
 from __future__ import annotations
 
 import re
+import weakref
 
 import numpy as np
 
@@ -44,6 +45,15 @@ def word_units(text: str) -> list[str]:
     return out
 
 
+_LIVE: weakref.WeakSet = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empty all memos of this process: called where a reused worker begins other work, which needs the memory."""
+    for memo in list(_LIVE):
+        memo.clear()
+
+
 class Memo:
     """Token ids of units.  `most` bounds the number of units held; beyond it the memo starts anew.
 
@@ -68,9 +78,10 @@ class Memo:
     def __init__(self, encode_many, encode_spaced=None, most: int = 900_000, first_spaced: bool = False, split=_SAFE.split):
         self.encode_many, self.most, self.first_spaced, self.split = encode_many, most, first_spaced, split
         self.encode_spaced = encode_spaced or (lambda words: _flat(encode_many([" " + w for w in words])))
-        self._clear()
+        self.clear()
+        _LIVE.add(self)
 
-    def _clear(self):
+    def clear(self):
         self.count = 0
         self.other, self.spaced = self._Numbers(self), self._Numbers(self)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
@@ -94,7 +105,7 @@ class Memo:
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has (with the end id)."""
         if self.count > self.most:
-            self._clear()
+            self.clear()
         other, spaced, counts, units, before = self.other.__getitem__, self.spaced.__getitem__, [], [], 0
         newline, begin = other("\n"), spaced if self.first_spaced else other
         for text in texts:
