@@ -67,7 +67,7 @@ def percent_decoded(x: Column, plus: bool = False) -> Column:
 def match_text(target: Column) -> Column:
     """Up to three rounds of percent decoding, without NUL, in lower case: what attack patterns are tried on.  A round that
     fails or changes nothing is the last."""
-    once = percent_decoded
+    once = lambda v: percent_decoded(v)
     shown = F.when(F.contains(target, F.lit("%")), let(let(let(target, once), once), once)).otherwise(target)
     return F.lower(F.replace(shown, F.lit("\0"), F.lit("")))
 
