@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from .. import stored
 from ..operators import aggregates as A, behavior as B, matches, parse, path_rules, rules, scoring
 from ..thresholds import DEFAULT, Thresholds
 
 
 @dataclass
 class Analysis:
-    """Lazy results over `entries`.  What several results read - the entries, rule hits, and statistics of clients,
-    agents, bots and paths - is persisted (memory, then disk) at first use; close() lets it go."""
+    """Results over `entries`.  What several results read - the entries, rule hits, statistics of clients, agents, bots
+    and paths, and the scored incidents - is written once to the shared folder at first use, so that plans stay small and
+    nothing is parsed twice; `stored.release` deletes it."""
 
     entries: DataFrame
     thresholds: Thresholds = DEFAULT
@@ -23,23 +24,14 @@ class Analysis:
 
     def __post_init__(self):
         self._made: dict = {}
-        self._kept: list[DataFrame] = []
-        self.entries = self._keep(self.entries)
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return self._kept[-1]
+        self.entries = stored.keep(self.entries, "entries")
 
     def _once(self, name, make, keep: bool = False) -> DataFrame:
         if name not in self._made:
             df = make()
-            self._made[name] = self._keep(df) if keep else df
+            self._made[name] = stored.keep(df, name) if keep else df
         return self._made[name]
 
-    def close(self) -> None:
-        while self._kept:
-            self._kept.pop().unpersist()
-
     @property
     def log(self) -> DataFrame:
         return self._once("log", lambda: parse.access_log(self.entries))
