@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from ..stored import keep, release, remove, scratch, shared_folder  # noqa: F401
 
 #: A key with this share of the rows counts as hot; so there are at most HOT_KEYS hot keys.
 HOT_KEYS = 1000
@@ -14,47 +12,6 @@ HOT_LEAST = 1000
 #: Broadcasts of ids happen only up to this many rows (8 bytes each), else a shuffled join is used.
 BROADCAST_IDS = 2_000_000
 
-_made: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` as a URI; where it is unset (tests), a temp folder is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_logsieve_dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="logsieve-")
-            spark.sparkContext._logsieve_dir = base
-    return base if "://" in base or base.startswith("file:") else "file://" + os.path.abspath(base)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder."""
-    path = f"{shared_folder(spark).rstrip('/')}/logsieve/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost
-    executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all scratch folders of this process; results that read them are no longer usable."""
-    while _made:
-        remove(spark, _made.pop())
-
-
 def task_fs(uri: str):
     """(filesystem, path) for a shared-folder URI inside a task: local, HDFS, S3 or GCS."""
     from pyarrow import fs
