@@ -127,6 +127,10 @@ _NAME = r"[A-Za-z0-9._%+-]"
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
+# Endings that an address in bare words may have.
+ENDINGS = frozenset(
+    "com org net edu gov mil int info biz io ai app dev me co tv us uk ca au nz ie de fr es it nl be ch at pt se no dk fi pl cz ru ua tr gr eu in cn jp kr br mx ar za test example invalid".split()
+)
 #: An address whose "at" or a "dot" is in disguise; at least one disguised dot follows a bare word "at".
 _ADDRESS = re.compile(
     rf"(?<!{_NAME}){_NAME}+(?:{_DOT}{_NAME}+)*(?:@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+",
@@ -185,8 +189,9 @@ def _address_edits(text: str):
         bracket = any(_BRACKET.search(x[0]) for x in inside)
         plain_at = any(x[1] and not _BRACKET.search(x[0]) for x in inside)
         plain_dots = sum(1 for x in inside if x[2] and not _BRACKET.search(x[0]))
-        # bare words are taken only together: "name at host dot tld"; one in brackets is enough by itself
-        if bracket or (plain_at and plain_dots) or ("@" in m[0] and plain_dots):
+        # bare words are taken only together and before a known ending: "name at host dot com"; one in brackets is enough
+        ending = re.split(r"[\s.]+", m[0])[-1].lower() in ENDINGS
+        if bracket or ending and plain_dots and (plain_at or "@" in m[0]):
             for x in inside:
                 if _BRACKET.search(x[0]) or plain_dots:
                     out.append((m.start() + x.start(), m.start() + x.end(), "@" if x[1] else "."))

@@ -115,7 +115,7 @@ def hf_memo(path: str) -> Memo:
     return Memo(many, spaced)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 4_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 4_000_000, batch_bytes: int = 2 * words.SLICE) -> DataFrame:
     """Write the files under `folder` and return the manifest: part, number, path, docs, tokens."""
 
     def write(batches):
@@ -133,7 +133,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             return row
 
         for batch in batches:
-            for first, texts in words.parts(batch.column(1), 2 * words.SLICE):
+            for first, texts in words.parts(batch.column(1), batch_bytes):
                 ids, lengths = memo.encode([x or "" for x in texts.to_pylist()], end_id)
                 held_docs += batch.column(0).slice(first, len(texts)).to_pylist()
                 held_lengths.append(lengths)
