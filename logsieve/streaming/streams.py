@@ -10,7 +10,7 @@ from ..operators import parse, rules
 from ..thresholds import DEFAULT, Thresholds
 
 LATE = "60 seconds"
-IDLE_MS = 900_000
+IDLE_SECONDS = 900
 
 
 def entries(spark: SparkSession, folder: str, fmt: parse.Format = parse.BUILT_IN[0], files_per_trigger: int | None = None) -> DataFrame:
@@ -62,36 +62,35 @@ def late_counter(stream: DataFrame) -> DataFrame:
     return stream.select("epoch", F.unix_seconds(F.current_timestamp()).alias("seen"))
 
 
-def bursts(seconds: DataFrame, t: Thresholds = DEFAULT, key: str = "ip") -> DataFrame:
-    """Runs of consecutive seconds with at least burst_rps requests, from (key, epoch, n) of closed seconds: a row
-    (key, run_seconds, run_start, run_end) whenever a run that is long enough grows.  State per key: the current run;
-    it goes after 15 idle minutes."""
+def bursts(stream: DataFrame, t: Thresholds = DEFAULT, key: str = "ip") -> DataFrame:
+    """Runs of consecutive seconds with at least burst_rps requests: a row (key, run_seconds, run_start, run_end) whenever
+    a run that is long enough grows.  State per key: counts of the seconds that the watermark has not passed yet, at most
+    as many as entries may be late, and the current run, which goes after 15 idle minutes of event time."""
     schema = f"{key} string, run_seconds long, run_start long, run_end long"
 
     def fold(group, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, end = state.get if state.exists else (None, None)
+        epochs, counts, start, end = state.get if state.exists else ([], [], None, None)
+        pending = dict(zip(epochs or [], counts or []))
+        for f in frames:
+            for epoch, n in f["epoch"].value_counts().items():
+                pending[int(epoch)] = pending.get(int(epoch), 0) + int(n)
+        closed = state.getCurrentWatermarkMs() // 1000
         out = []
-        rows = sorted((int(e), int(n)) for f in frames for e, n in zip(f["epoch"], f["n"]))
-        for epoch, n in rows:
-            if n < t.burst_rps:
-                continue
-            start = start if end is not None and epoch == end + 1 else epoch
-            end = epoch
-            if end - start + 1 >= t.burst_seconds:
-                out.append((group[0], end - start + 1, start, end))
-        if start is not None:
-            state.update((start, end))
-            state.setTimeoutDuration(IDLE_MS)
+        for epoch in sorted(e for e in pending if e < closed):
+            if pending.pop(epoch) >= t.burst_rps:
+                start = start if end is not None and epoch == end + 1 else epoch
+                end = epoch
+                if end - start + 1 >= t.burst_seconds:
+                    out.append((group[0], end - start + 1, start, end))
+        wake = min(pending) + 1 if pending else end + IDLE_SECONDS if end is not None else None
+        if wake is None or wake <= closed:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((list(pending), list(pending.values()), start, end))
+            state.setTimeoutTimestamp(wake * 1000)
         if out:
             yield pd.DataFrame(out, columns=[key, "run_seconds", "run_start", "run_end"])
 
-    return seconds.groupBy(key).applyInPandasWithState(fold, schema, "start long, end long", "append", "ProcessingTimeTimeout")
-
-
-def client_seconds(stream: DataFrame) -> DataFrame:
-    """ip, epoch, n of closed seconds, as input of bursts()."""
-    w = stream.withWatermark("ts", LATE).groupBy("ip", F.window("ts", "1 second")).agg(F.count("*").alias("n"))
-    return w.select("ip", F.unix_seconds("window.start").alias("epoch"), "n")
+    slim = stream.withWatermark("ts", LATE).select(key, "epoch", "ts")
+    return slim.groupBy(key).applyInPandasWithState(fold, schema, "epochs array<long>, counts array<long>, start long, end long", "append", "EventTimeTimeout")
