@@ -48,6 +48,10 @@ class Analysis:
     def actors(self) -> DataFrame:
         return self._once("actors", lambda: A.known_actors(self.entries), True)
 
+    @property
+    def crawlers(self) -> DataFrame:
+        return self._once("crawlers", lambda: self.ranges.crawlers(self.profiles.select("ip")), True)
+
     @property
     def bots(self) -> DataFrame:
         return self._once("bots", lambda: A.bot_rollup(self.entries, self.actors, self.thresholds), True)
@@ -69,7 +73,7 @@ class Analysis:
 
         def make():
             found = rules.rule_incidents(self.hits).unionByName(path_rules.path_incidents(self.path_stats, self.thresholds))
-            return scoring.scored(found.unionByName(B.behavior_incidents(self.entries, self.profiles, self.actors, self.bots, self.ranges, self.thresholds)))
+            return scoring.scored(found.unionByName(B.behavior_incidents(self.entries, self.profiles, self.actors, self.bots, self.crawlers, self.thresholds)))
 
         return self._once("scored", make, True)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import corpus
 from .data import agents as AG, paths as P, ranges as R, signatures as SG
 from .functions import scalars as S
-from .operators import aggregates as A, behavior as B, filterlang, insights_sql, matches, parse, path_rules, query, rules, scoring
+from .operators import aggregates as A, behavior as B, filterlang, insights_sql, parse, path_rules, query, rules, scoring
 from .plans import analysis
 from .ship import shipped
 from .thresholds import Thresholds
@@ -300,7 +300,7 @@ _register(
 )(lambda spark, d: A.fingerprint_hits(L(spark, d), P.FINGERPRINT_PATHS).select("ip", "hits"))
 _register(
     "fake_bots", f"{_E}, {_PROF} SELECT ip, 'Googlebot' AS claimed, \"totalRequests\", \"pathCount\" FROM pr WHERE \"totalRequests\" >= 10 AND ip IN (SELECT ip FROM e WHERE contains(ua, 'Googlebot/2')) AND NOT {_inside(_V4)}"
-)(lambda spark, d: B.fake_bots(A.ip_profiles(e := L(spark, d)), A.known_actors(e)).select("ip", "claimed", "totalRequests", "pathCount"))
+)(lambda spark, d: B.fake_bots(p := A.ip_profiles(e := L(spark, d)), A.known_actors(e), B.Ranges().crawlers(p.select("ip"))).select("ip", "claimed", "totalRequests", "pathCount"))
 _NET = f"sn AS (SELECT {_SUBNET} AS subnet, epoch, count(*) AS n, least(count(DISTINCT ip), 5001) AS ips FROM e GROUP BY 1, 2)"
 _register("subnet_seconds", f"{_E}, {_NET} SELECT * FROM sn")(lambda spark, d: A.subnet_seconds(L(spark, d)))
 _register("subnet_ddos", f"{_E}, {_NET}, {_run('sn', 'subnet', 'n >= 200 AND ips >= 10', 'z')} SELECT subnet, run_seconds, run_start, run_end FROM z WHERE run_seconds >= 5")(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import parse
-from . import archives, formats
+from . import archives
 
 SAMPLE_LINES, LEAST_RATIO = 200, 0.8
 
