@@ -37,11 +37,12 @@ _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astyp
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rank table, control bytes, data bytes)."""
-    values, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank_of = np.empty(len(values), np.uint32)
-    rank_of[order] = np.arange(len(values), dtype=np.uint32)
-    ranks = rank_of[where]
+    counts = np.bincount(ids)  # as long as the vocabulary
+    values = np.flatnonzero(counts)
+    order = np.lexsort((values, -counts[values]))
+    rank_of = np.empty(len(counts), np.uint32)
+    rank_of[values[order]] = np.arange(len(values), dtype=np.uint32)
+    ranks = rank_of[ids]
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = size - 1
@@ -162,7 +163,9 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     starts = spark.createDataFrame(parts, "part int, part_start long")
     own = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("inside", F.coalesce(F.sum("tokens").over(own), F.lit(0))).join(F.broadcast(starts), "part")
-    files = files.select("path", (F.col("part_start") + F.col("inside")).alias("start")).repartition(F.col("path"))
+    files = files.select("path", (F.col("part_start") + F.col("inside")).alias("start"))
+    # a number of its own keeps the few manifest rows from being read by one task
+    files = files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "path")
 
     def read(batches):
         for batch in batches:

@@ -55,7 +55,8 @@ def forget() -> None:
 
 
 class Memo:
-    """Token ids of units.  `most` bounds the number of units held; beyond it the memo starts anew.
+    """Token ids of units.  The first `most` units stay; from then on new ones go to a part of a quarter of that size,
+    which starts anew when it is full, and after RESTARTS such starts so does the whole memo.
 
     encode_many(units) gives a list of ids for each unit.  encode_spaced(words) gives (ids of all, lengths) for units
     that are a space and a word without white space.  first_spaced: the first word of a text is such a unit too; split
@@ -66,15 +67,24 @@ class Memo:
 
         def __init__(self, memo):
             super().__init__()
-            self.memo, self.fresh, self.fresh_numbers = memo, [], []
+            self.memo, self.late, self.fresh, self.fresh_numbers = memo, {}, [], []
 
         def __missing__(self, word):
-            n = self[word] = self.memo.count
-            self.memo.count += 1
+            memo = self.memo
+            if memo.base is None:
+                self[word] = n = memo.count
+            else:
+                n = self.late.get(word)
+                if n is not None:
+                    return n
+                self.late[word] = n = memo.count
+            memo.count += 1
             self.fresh.append(word)
             self.fresh_numbers.append(n)
             return n
 
+    RESTARTS = 24
+
     def __init__(self, encode_many, encode_spaced=None, most: int = 900_000, first_spaced: bool = False, split=_SAFE.split):
         self.encode_many, self.most, self.first_spaced, self.split = encode_many, most, first_spaced, split
         self.encode_spaced = encode_spaced or (lambda words: _flat(encode_many([" " + w for w in words])))
@@ -82,7 +92,7 @@ class Memo:
         _LIVE.add(self)
 
     def clear(self):
-        self.count = 0
+        self.count, self.base, self.restarts = 0, None, 0
         self.other, self.spaced = self._Numbers(self), self._Numbers(self)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
@@ -104,21 +114,33 @@ class Memo:
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has (with the end id)."""
-        if self.count > self.most:
-            self.clear()
+        if self.base is None:
+            if self.count > self.most:
+                self.base = (self.count, self.used)
+        elif self.count > self.base[0] + self.most // 4:
+            self.restarts += 1
+            if self.restarts > self.RESTARTS:
+                self.clear()
+            else:
+                self.count, self.used = self.base
+                self.other.late.clear()
+                self.spaced.late.clear()
         other, spaced, counts, units, before = self.other.__getitem__, self.spaced.__getitem__, [], [], 0
         newline, begin = other("\n"), spaced if self.first_spaced else other
+        append, extend = units.append, units.extend
         for text in texts:
             if not text:
                 pass
             elif plain(text):
                 for i, line in enumerate(text.split("\n")):
-                    first, *rest = line.split(" ")
+                    words = line.split(" ")
                     if i:
-                        units += (newline, other(first))
+                        append(newline)
+                        append(other(words[0]))
                     else:
-                        units.append(begin(first))
-                    units.extend(map(spaced, rest))
+                        append(begin(words[0]))
+                    del words[0]
+                    extend(map(spaced, words))
             else:
                 units.extend(map(other, self.split(text)))
             counts.append(len(units) - before)
