@@ -44,8 +44,6 @@ _DIGITS = np.zeros(256, bool)
 _DIGITS[48:58] = True
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?:\n\r"]] = True
-_BLANK = np.zeros(256, bool)
-_BLANK[[ord(c) for c in " \t\"'()[]*_"]] = True
 
 
 def _fold(data: np.ndarray) -> np.ndarray:
