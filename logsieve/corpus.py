@@ -32,6 +32,9 @@ def _expressions(div: str) -> dict[str, str]:
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, value: raw lines."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS k", "user_id AS u", "event_type AS t", "value AS v")
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:  # a small table is one row group, and so one task
+        events = events.repartition(cores)
     df = events.selectExpr("k", *[f"{x} AS {n}" for n, x in _expressions("div").items()])
     when = F.date_format(F.timestamp_seconds("epoch"), "dd/MMM/yyyy:HH:mm:ss")
     line = F.concat(
