@@ -7,8 +7,10 @@ meets the same document value and the other way round, per type.  So an item is
 or units were exchanged, and not when its words merely stand around unrelated values.
 
 Number: a word of digits only.  Unit: a word of the list.  Name: a word with a capital first letter that does not
-begin a sentence (no `.`, `!`, `?`, `:`, line break or start of the text before it).  A window needs at least half of its
-words to be none of these.
+begin a sentence (no `.`, `!`, `?`, `:`, line break or start of the text before it).  A template window needs at least
+half of its words to be none of these.  Every window, whatever its words, is also hashed by its real words in lower case
+(an exact window), so copies of items that are mostly numbers, names or capitals are found too, in any letter case,
+punctuation or line wrapping.
 
 Benchmark hashes up to BROADCAST_WINDOWS go to every task; beyond, windows of documents and benchmark meet in a shuffled
 join.  Both ways give the same rows.
@@ -40,6 +42,10 @@ UNITS = (
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _MARKS = np.array([0, 0x4E554D0000000001, 0x4E414D4500000003, 0x554E495400000005], np.uint64)
+#: Ways to read a window.
+EXACT, TEMPLATE = 0, 1
+#: Keeps hashes of exact windows apart from those of templates.
+_EXACT_MARK = np.uint64(0x4558414354000007)
 _DIGITS = np.zeros(256, bool)
 _DIGITS[48:58] = True
 _SENTENCE_END = np.zeros(256, bool)
@@ -72,12 +78,13 @@ def _unit_hashes() -> np.ndarray:
 def templates(texts: pa.Array):
     """(template hashes, kinds, word hashes, n + 1 offsets) of all words."""
     data, offs = words.as_bytes(texts)
-    low = _fold(data)
-    starts, ends, at = words.spans(low, offs)
+    starts, ends, at = words.spans(_fold(data), offs)
     if not len(starts):
         empty = np.zeros(0, np.uint64)
         return empty, np.zeros(0, np.int8), empty, at
-    hashes = words.span_hashes(low, starts, ends)
+    # lower case maps letters to letters: the same words stand in both, at other bytes
+    low, low_offs = words.as_bytes(words.lowered(texts))
+    hashes = words.span_hashes(low, *words.spans(low, low_offs)[:2])
     kind = np.zeros(len(starts), np.int8)
     # names: a capital first letter, and no sentence end between the last word and this one
     first = data[starts]
@@ -96,31 +103,44 @@ def templates(texts: pa.Array):
     return np.where(kind == LITERAL, hashes, _MARKS[kind]), kind, hashes, at
 
 
+def _rolling(marks: np.ndarray):
+    """Sums of marks times powers: the sum of any run of marks is one difference, times the power taken back."""
+    up, down = words._powers_to(len(marks) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks * up[: len(marks)], dtype=np.uint64)])
+    return lambda begin, n: (total[begin + n] - total[begin]) * down[begin]
+
+
 def windows(texts: pa.Array, lengths: list[int]):
-    """(text number, first word, length, hash) of the windows with enough literal words, one array each, and the
-    arrays of templates()."""
+    """(text number, first word, length, hash, way) of the windows, one array each, and the arrays of templates().  A
+    window of literal words only is its own template, so it is there once, as an exact one."""
     marks, kind, hashes, at = templates(texts)
-    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+    slots = np.concatenate([[0], np.cumsum(kind != LITERAL)])
+    real, template = _rolling(hashes), _rolling(marks)
     out = []
+
+    def add(text, begin, n, sums, way):
+        out.append((text, begin, np.full(len(begin), n), words.mix(sums + np.uint64(n)), np.full(len(begin), way, np.int8)))
+
     for n in lengths:
         counts = np.maximum(np.diff(at) - n + 1, 0)
         text = np.repeat(np.arange(len(counts)), counts)
         begin = at[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
-        good = 2 * (literal[begin + n] - literal[begin]) >= n
-        text, begin = text[good], begin[good]
-        acc = np.zeros(len(begin), np.uint64)
-        for k in range(n):
-            acc = acc * np.uint64(0xD6E8FEB86659FD93) + marks[begin + k]
-        out.append((text, begin, np.full(len(begin), n), words.mix(acc + np.uint64(n))))
+        add(text, begin, n, real(begin, n) ^ _EXACT_MARK, EXACT)
+        filled = slots[begin + n] - slots[begin]
+        good = (filled > 0) & (2 * (n - filled) >= n)
+        add(text[good], begin[good], n, template(begin[good], n), TEMPLATE)
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64), (marks, kind, hashes, at)
-    text, begin, length, found = (np.concatenate(x) for x in zip(*out))
-    return text, begin, length, found, (marks, kind, hashes, at)
+        return z, z, z, np.zeros(0, np.uint64), z, (marks, kind, hashes, at)
+    text, begin, length, found, way = (np.concatenate(x) for x in zip(*out))
+    return text, begin, length, found, way, (marks, kind, hashes, at)
 
 
-def slots_of(begin: int, n: int, kind: np.ndarray, hashes: np.ndarray) -> bytes:
-    """Kinds and values of the slots of a window: one u64 for the place and kind, one for the value, each."""
+def slots_of(begin: int, n: int, way: int, kind: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Kinds and values of the slots of a window: one u64 for the place and kind, one for the value, each.  An exact
+    window has none."""
+    if way == EXACT:
+        return b""
     where = np.flatnonzero(kind[begin : begin + n] != LITERAL)
     tag = where.astype(np.uint64) << np.uint64(8) | kind[begin + where].astype(np.uint64)
     return np.stack([tag, hashes[begin + where]], axis=1).tobytes()
@@ -148,9 +168,9 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
                 counts = np.diff(templates(texts)[3])
                 rows = []
                 for n in sorted({min(window, int(c)) for c in counts if c}):
-                    text, begin, length, found, (_, kind, hashes, _) = windows(texts, [n])
+                    text, begin, length, found, way, (_, kind, hashes, _) = windows(texts, [n])
                     own = np.minimum(window, counts[text]) == n
-                    rows += [(int(t), n, int(h), slots_of(int(b), n, kind, hashes)) for t, b, h in zip(text[own], begin[own], found[own].view(np.int64))]
+                    rows += [(int(t), n, int(h), slots_of(int(b), n, w, kind, hashes)) for t, b, h, w in zip(text[own], begin[own], found[own].view(np.int64), way[own])]
                 if rows:
                     ids = batch.column(0).slice(first, len(texts)).to_pylist()
                     t, n, h, s = zip(*rows)
@@ -161,14 +181,14 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
 
 def _document_windows(docs: DataFrame, lengths: list[int], known) -> DataFrame:
-    """doc_id, at, length, hash, slots of document windows; of those in `known` (a broadcast sorted array) if given."""
+    """doc_id, row, at, length, hash, slots of document windows; of those in `known` (a broadcast sorted array) if given."""
 
     def cut(batches):
         forget()
         table = known.value if known is not None else None
         for batch in batches:
             for first, texts in words.parts(batch.column(1)):
-                text, begin, length, found, (_, kind, hashes, at) = windows(texts, lengths)
+                text, begin, length, found, way, (_, kind, hashes, at) = windows(texts, lengths)
                 if table is not None:
                     where = np.minimum(np.searchsorted(table, found), len(table) - 1)
                     hit = np.flatnonzero(table[where] == found)
@@ -176,14 +196,14 @@ def _document_windows(docs: DataFrame, lengths: list[int], known) -> DataFrame:
                     hit = np.arange(len(found))
                 for a in range(0, len(hit), 1 << 16):
                     h = hit[a : a + (1 << 16)]
-                    slots = [slots_of(int(b), int(n), kind, hashes) for b, n in zip(begin[h], length[h])]
+                    slots = [slots_of(int(b), int(n), w, kind, hashes) for b, n, w in zip(begin[h], length[h], way[h])]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(first, len(texts)).take(pa.array(text[h])), pa.array((begin[h] - at[text[h]]).astype(np.int32)), pa.array(length[h].astype(np.int32)),
+                        [batch.column(0).slice(first, len(texts)).take(pa.array(text[h])), batch.column(2).slice(first, len(texts)).take(pa.array(text[h])), pa.array((begin[h] - at[text[h]]).astype(np.int32)), pa.array(length[h].astype(np.int32)),
                          pa.array(found[h].view(np.int64)), pa.array(slots, pa.binary())],
-                        ["doc_id", "at", "length", "hash", "slots"],
+                        ["doc_id", "row", "at", "length", "hash", "slots"],
                     )
 
-    return docs.mapInArrow(cut, "doc_id long, at int, length int, hash long, slots binary")
+    return docs.mapInArrow(cut, "doc_id long, row long, at int, length int, hash long, slots binary")
 
 
 def _agree():
@@ -202,7 +222,7 @@ def benchmark_hits(
     """doc_id, item_id, n_windows: how many windows of the item a document has, with consistent slots.  A window that
     several items have counts for the one with the least id.  Only contaminated documents have rows."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     known = shared.keep(benchmark_windows(benchmark, window=window).distinct(), "benchmark-windows")
     lengths = sorted(r.length for r in known.select("length").distinct().toLocalIterator())  # at most `window` of them
     # windows that items share meet document windows once: the join is on the hash's distinct slot patterns
@@ -228,8 +248,9 @@ def benchmark_hits(
     key = F.struct("length", "hash", "slots").alias("pattern")
     listed = items.groupBy(key).agg(F.min("item_id").alias("item_id")).join(pairs.select(key, "n"), "pattern")
     listed = shared.keep(listed, "listed-patterns")
-    matched = shared.join_counted(hits.select("doc_id", "at", key), listed, "pattern", "n", docs.count())
-    return matched.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"))
+    matched = shared.join_counted(hits.select("doc_id", "row", "at", key), listed, "pattern", "n", docs.count())
+    # a window that is found in several ways counts once
+    return matched.groupBy("doc_id", "item_id").agg(F.count_distinct("row", "at", "pattern.length").alias("n_windows"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

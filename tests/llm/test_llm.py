@@ -307,6 +307,17 @@ def test_slots_agree_one_to_one():
     assert not decontaminate.consistent(a, enc(0 << 8 | n, 1, 3 << 8 | n, 1, 5 << 8 | n, 1))
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 1])
+def test_slot_heavy_items_are_found(spark, limit):
+    items = ["What is 12 * 5 + 3 - 8 / 2 + 7 * 9 - 4?", "Compute the mean of 12, 15, 18, 21, 24, 27, 30, 33, 36, 39, 42, 45 and 48 exactly.", "ÉVERY WORD OF THIS ITEM STANDS IN CAPITALS FROM ITS FIRST TO ITS LAST WORD", "Каждое Слово Здесь"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    rows = [(i, f"some text before {t} and after") for i, t in enumerate(items, 1)] + [(10 + i, t.lower().replace(",", "").replace(" ", "\n")) for i, t in enumerate(items, 1)]
+    rows += [(20, "what is 12 * 5 + 3 - 8 / 2 + 7 * 9 - 5?"), (21, " ".join(str(i) for i in range(60)))]
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.benchmark_hits(docs(spark, rows), bench, broadcast_windows=limit).collect()}
+    assert set(got) == {(k + i, i) for i in range(1, 5) for k in (0, 10)} and got[1, 1] == 1 and got[2, 2] == got[12, 2] == 7
+    assert decontaminate.decontaminated(docs(spark, rows), bench, broadcast_windows=limit).count() == 2
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------
 
 
