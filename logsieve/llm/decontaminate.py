@@ -12,6 +12,9 @@ half of its words to be none of these.  Every window, whatever its words, is als
 (an exact window), so copies of items that are mostly numbers, names or capitals are found too, in any letter case,
 punctuation or line wrapping.
 
+Whether a capital begins a sentence depends on what stands around, so a template window is also read with each capital as
+a name, and each reading with the first word both as a name and as a literal word, if it has a capital.
+
 Benchmark hashes up to BROADCAST_WINDOWS go to every task; beyond, windows of documents and benchmark meet in a shuffled
 join.  Both ways give the same rows.
 
@@ -43,7 +46,7 @@ UNITS = (
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _MARKS = np.array([0, 0x4E554D0000000001, 0x4E414D4500000003, 0x554E495400000005], np.uint64)
 #: Ways to read a window.
-EXACT, TEMPLATE = 0, 1
+EXACT, TEMPLATE, TURNED, CAPITALS, CAPITALS_TURNED = range(5)
 #: Keeps hashes of exact windows apart from those of templates.
 _EXACT_MARK = np.uint64(0x4558414354000007)
 _DIGITS = np.zeros(256, bool)
@@ -76,16 +79,16 @@ def _unit_hashes() -> np.ndarray:
 
 
 def templates(texts: pa.Array):
-    """(template hashes, kinds, word hashes, n + 1 offsets) of all words."""
+    """(kinds, kinds with each capital as a name, word hashes, n + 1 offsets) of all words."""
     data, offs = words.as_bytes(texts)
     starts, ends, at = words.spans(_fold(data), offs)
     if not len(starts):
         empty = np.zeros(0, np.uint64)
-        return empty, np.zeros(0, np.int8), empty, at
+        return np.zeros(0, np.int8), np.zeros(0, np.int8), empty, at
     # lower case maps letters to letters: the same words stand in both, at other bytes
     low, low_offs = words.as_bytes(words.lowered(texts))
     hashes = words.span_hashes(low, *words.spans(low, low_offs)[:2])
-    kind = np.zeros(len(starts), np.int8)
+    kind, capitals = np.zeros(len(starts), np.int8), np.zeros(len(starts), np.int8)
     # names: a capital first letter, and no sentence end between the last word and this one
     first = data[starts]
     second = data[np.minimum(starts + 1, len(data) - 1)]
@@ -94,13 +97,15 @@ def templates(texts: pa.Array):
     previous = np.concatenate([[0], ends[:-1]])
     previous[at[:-1][at[:-1] < len(starts)]] = -1
     begins = (previous < 0) | (stops[starts] > stops[np.maximum(previous, 0)])
-    kind[capital & ~begins] = NAME
+    kind[capital & ~begins] = capitals[capital] = NAME
     units = _unit_hashes()
     where = np.minimum(np.searchsorted(units, hashes), len(units) - 1)
-    kind[units[where] == hashes] = UNIT
+    unit = units[where] == hashes
+    kind[unit] = capitals[unit] = UNIT
     digits = np.concatenate([[0], np.cumsum(_DIGITS[data])])
-    kind[digits[ends] - digits[starts] == ends - starts] = NUMBER
-    return np.where(kind == LITERAL, hashes, _MARKS[kind]), kind, hashes, at
+    number = digits[ends] - digits[starts] == ends - starts
+    kind[number] = capitals[number] = NUMBER
+    return kind, capitals, hashes, at
 
 
 def _rolling(marks: np.ndarray):
@@ -112,37 +117,58 @@ def _rolling(marks: np.ndarray):
 
 def windows(texts: pa.Array, lengths: list[int]):
     """(text number, first word, length, hash, way) of the windows, one array each, and the arrays of templates().  A
-    window of literal words only is its own template, so it is there once, as an exact one."""
-    marks, kind, hashes, at = templates(texts)
-    slots = np.concatenate([[0], np.cumsum(kind != LITERAL)])
-    real, template = _rolling(hashes), _rolling(marks)
+    window of literal words only is its own template, so it is there once, as an exact one; readings that are the same are
+    there once too."""
+    kind, capitals, hashes, at = templates(texts)
+    real = _rolling(hashes)
+    readings = []
+    for kinds, way in ((kind, TEMPLATE), (capitals, CAPITALS)):
+        marks = np.where(kinds == LITERAL, hashes, _MARKS[kinds])
+        readings.append((kinds, way, marks, np.concatenate([[0], np.cumsum(kinds != LITERAL)]), _rolling(marks)))
+    unlike = np.concatenate([[0], np.cumsum(kind != capitals)])
     out = []
 
     def add(text, begin, n, sums, way):
         out.append((text, begin, np.full(len(begin), n), words.mix(sums + np.uint64(n)), np.full(len(begin), way, np.int8)))
 
+    def add_template(text, begin, n, sums, filled, way):
+        good = (filled > 0) & (2 * (n - filled) >= n)
+        add(text[good], begin[good], n, sums[good], way)
+
     for n in lengths:
         counts = np.maximum(np.diff(at) - n + 1, 0)
         text = np.repeat(np.arange(len(counts)), counts)
         begin = at[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
         add(text, begin, n, real(begin, n) ^ _EXACT_MARK, EXACT)
-        filled = slots[begin + n] - slots[begin]
-        good = (filled > 0) & (2 * (n - filled) >= n)
-        add(text[good], begin[good], n, template(begin[good], n), TEMPLATE)
+        for kinds, way, marks, slots, template in readings:
+            if way == CAPITALS:  # unlike the first reading, not only in the first word
+                new = unlike[begin + n] > unlike[begin + 1]
+                text, begin = text[new], begin[new]
+            sums, filled = template(begin, n), slots[begin + n] - slots[begin]
+            add_template(text, begin, n, sums, filled, way)
+            turn = np.flatnonzero(capitals[begin] == NAME)
+            first = begin[turn]
+            named = kinds[first] == NAME
+            other = np.where(named, hashes[first], _MARKS[NAME])
+            add_template(text[turn], first, n, sums[turn] + other - marks[first], filled[turn] + np.where(named, -1, 1), way + 1)
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64), z, (marks, kind, hashes, at)
+        return z, z, z, np.zeros(0, np.uint64), z, (kind, capitals, hashes, at)
     text, begin, length, found, way = (np.concatenate(x) for x in zip(*out))
-    return text, begin, length, found, way, (marks, kind, hashes, at)
+    return text, begin, length, found, way, (kind, capitals, hashes, at)
 
 
-def slots_of(begin: int, n: int, way: int, kind: np.ndarray, hashes: np.ndarray) -> bytes:
+def slots_of(begin: int, n: int, way: int, kind: np.ndarray, capitals: np.ndarray, hashes: np.ndarray) -> bytes:
     """Kinds and values of the slots of a window: one u64 for the place and kind, one for the value, each.  An exact
     window has none."""
     if way == EXACT:
         return b""
-    where = np.flatnonzero(kind[begin : begin + n] != LITERAL)
-    tag = where.astype(np.uint64) << np.uint64(8) | kind[begin + where].astype(np.uint64)
+    own = (capitals if way in (CAPITALS, CAPITALS_TURNED) else kind)[begin : begin + n]
+    if way in (TURNED, CAPITALS_TURNED):
+        own = own.copy()
+        own[0] = LITERAL if own[0] == NAME else NAME
+    where = np.flatnonzero(own != LITERAL)
+    tag = where.astype(np.uint64) << np.uint64(8) | own[where].astype(np.uint64)
     return np.stack([tag, hashes[begin + where]], axis=1).tobytes()
 
 
@@ -165,12 +191,12 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     def cut(batches):
         for batch in batches:
             for first, texts in words.parts(batch.column(1)):
-                counts = np.diff(templates(texts)[3])
+                counts = np.diff(words.word_hashes(words.lowered(texts))[1])
                 rows = []
                 for n in sorted({min(window, int(c)) for c in counts if c}):
-                    text, begin, length, found, way, (_, kind, hashes, _) = windows(texts, [n])
+                    text, begin, length, found, way, (*kinds, hashes, _) = windows(texts, [n])
                     own = np.minimum(window, counts[text]) == n
-                    rows += [(int(t), n, int(h), slots_of(int(b), n, w, kind, hashes)) for t, b, h, w in zip(text[own], begin[own], found[own].view(np.int64), way[own])]
+                    rows += [(int(t), n, int(h), slots_of(int(b), n, w, *kinds, hashes)) for t, b, h, w in zip(text[own], begin[own], found[own].view(np.int64), way[own])]
                 if rows:
                     ids = batch.column(0).slice(first, len(texts)).to_pylist()
                     t, n, h, s = zip(*rows)
@@ -188,7 +214,7 @@ def _document_windows(docs: DataFrame, lengths: list[int], known) -> DataFrame:
         table = known.value if known is not None else None
         for batch in batches:
             for first, texts in words.parts(batch.column(1)):
-                text, begin, length, found, way, (_, kind, hashes, at) = windows(texts, lengths)
+                text, begin, length, found, way, (*kinds, hashes, at) = windows(texts, lengths)
                 if table is not None:
                     where = np.minimum(np.searchsorted(table, found), len(table) - 1)
                     hit = np.flatnonzero(table[where] == found)
@@ -196,7 +222,7 @@ def _document_windows(docs: DataFrame, lengths: list[int], known) -> DataFrame:
                     hit = np.arange(len(found))
                 for a in range(0, len(hit), 1 << 16):
                     h = hit[a : a + (1 << 16)]
-                    slots = [slots_of(int(b), int(n), w, kind, hashes) for b, n, w in zip(begin[h], length[h], way[h])]
+                    slots = [slots_of(int(b), int(n), w, *kinds, hashes) for b, n, w in zip(begin[h], length[h], way[h])]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(first, len(texts)).take(pa.array(text[h])), batch.column(2).slice(first, len(texts)).take(pa.array(text[h])), pa.array((begin[h] - at[text[h]]).astype(np.int32)), pa.array(length[h].astype(np.int32)),
                          pa.array(found[h].view(np.int64)), pa.array(slots, pa.binary())],

@@ -318,6 +318,17 @@ def test_slot_heavy_items_are_found(spark, limit):
     assert decontaminate.decontaminated(docs(spark, rows), bench, broadcast_windows=limit).count() == 2
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 1])
+def test_templates_do_not_depend_on_context(spark, limit):
+    tom = "Tom has 3 apples. Tom buys 5 more. Tom eats 2 now. How many apples are left?"
+    which = "Which planet near Mars has the largest number of moons?"
+    bench = spark.createDataFrame([(1, tom), (2, which)], "item_id long, text string")
+    rows = [(1, tom.replace("Tom", "Sam").replace("5", "8")), (2, "as in 5) " + which.replace("Mars", "Venus")), (3, "so, " + which.replace("Which", "which").replace("Mars", "Venus")), (4, which.replace(" ", "\n").replace("Mars", "Venus")), (5, which),
+            (6, tom.replace("Tom has", "Sam has")), (7, "as in 5) Which planet has a moon?")]
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.benchmark_hits(docs(spark, rows), bench, broadcast_windows=limit).collect()}
+    assert got.keys() == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 2), (6, 1)} and got[1, 1] >= 4 and all(got[i, 2] == 1 for i in (2, 3, 4, 5))
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------
 
 
