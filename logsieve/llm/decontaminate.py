@@ -242,11 +242,9 @@ def _agree():
     return agree
 
 
-def benchmark_hits(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
-) -> DataFrame:
-    """doc_id, item_id, n_windows: how many windows of the item a document has, with consistent slots.  A window that
-    several items have counts for the one with the least id.  Only contaminated documents have rows."""
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, window: int, broadcast_windows: int) -> DataFrame:
+    """doc_id, row, at, length, items: document windows with consistent slots, and the sorted ids of all items that have
+    them.  A window that is found in several ways has several rows."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     known = shared.keep(benchmark_windows(benchmark, window=window).distinct(), "benchmark-windows")
@@ -258,7 +256,7 @@ def benchmark_hits(
     if few:
         found = [r.hash for r in known.select("hash").distinct().toLocalIterator()]  # at most broadcast_windows
         if not found:
-            return spark.createDataFrame([], "doc_id long, item_id long, n_windows long")
+            return spark.createDataFrame([], "doc_id long, row long, at int, length int, items array<long>")
         table = spark.sparkContext.broadcast(np.sort(np.array(found, np.int64).view(np.uint64)))
     hits = _document_windows(docs, lengths, table)
     # many documents share a passage: equal windows are compared once, by pre-aggregated patterns
@@ -272,14 +270,36 @@ def benchmark_hits(
     good = shared.keep(good, "good-patterns")
     items = good.join(known.withColumnRenamed("slots", "item_slots"), ["length", "hash", "item_slots"]).select("length", "hash", "slots", "item_id").distinct()
     key = F.struct("length", "hash", "slots").alias("pattern")
-    listed = items.groupBy(key).agg(F.min("item_id").alias("item_id")).join(pairs.select(key, "n"), "pattern")
+    listed = items.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("item_id"))).getField("item_id").alias("items")).join(pairs.select(key, "n"), "pattern")
     listed = shared.keep(listed, "listed-patterns")
     matched = shared.join_counted(hits.select("doc_id", "row", "at", key), listed, "pattern", "n", docs.count())
-    # a window that is found in several ways counts once
-    return matched.groupBy("doc_id", "item_id").agg(F.count_distinct("row", "at", "pattern.length").alias("n_windows"))
+    return matched.select("doc_id", "row", "at", "pattern.length", "items")
+
+
+def _counted(matched: DataFrame) -> DataFrame:
+    """A window that is found in several ways counts once."""
+    return matched.groupBy("doc_id", "item_id").agg(F.count_distinct("row", "at", "length").alias("n_windows"))
+
+
+def benchmark_links(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
+) -> DataFrame:
+    """doc_id, item_id, n_windows: how many windows of the item a document has, with consistent slots.  A window that
+    several items have counts for each of them.  Only contaminated documents have rows."""
+    matched = _matches(docs, benchmark, id_col, text_col, window, broadcast_windows)
+    return _counted(matched.select("doc_id", "row", "at", "length", F.explode("items").alias("item_id")))
+
+
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
+) -> DataFrame:
+    """benchmark_links() in short: a window that several items have counts for the one with the least id only."""
+    matched = _matches(docs, benchmark, id_col, text_col, window, broadcast_windows)
+    return _counted(matched.select("doc_id", "row", "at", "length", F.array_min("items").alias("item_id")))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that have a benchmark window."""
-    found = shared.keep(benchmark_hits(docs, benchmark, id_col, text_col, **options).select("doc_id").distinct(), "contaminated")
+    matched = _matches(docs, benchmark, id_col, text_col, **({"window": WINDOW, "broadcast_windows": BROADCAST_WINDOWS} | options))
+    found = shared.keep(matched.select("doc_id").distinct(), "contaminated")
     return shared.by_ids(docs, found, id_col, "left_anti")

@@ -78,9 +78,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shipped
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import benchmark_hits
+    from .decontaminate import benchmark_links
 
-    return benchmark_hits(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return benchmark_links(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @shipped

@@ -329,6 +329,18 @@ def test_templates_do_not_depend_on_context(spark, limit):
     assert got.keys() == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 2), (6, 1)} and got[1, 1] >= 4 and all(got[i, 2] == 1 for i in (2, 3, 4, 5))
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 1])
+def test_all_items_of_a_window_are_linked(spark, limit):
+    start = "please read the question below with care and give one short answer for the following case"
+    items = {1: f"{start} of red birds", 2: f"{start} of blue fish", 3: "Ann sold 7 pens to Bob on the way home", 4: "Ann sold 9 pens to Cid on the way home", 5: f"{start} of red birds"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(1, items[2]), (2, items[4]), (2, items[4]), (3, items[1]), (None, items[3])]
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.benchmark_links(docs(spark, rows), bench, broadcast_windows=limit).collect()}
+    n = len(start.split())
+    share, whole = n + 1 - 12, n + 3 - 12
+    assert got == {(1, 1): share, (1, 2): whole, (1, 5): share, (2, 3): 2, (2, 4): 2, (3, 1): whole, (3, 2): share, (3, 5): whole, (None, 3): 1, (None, 4): 1}
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------
 
 
