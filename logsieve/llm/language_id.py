@@ -5,8 +5,8 @@ declared markup language, the suffix of its address, and a prior for its host.
 that of its registered domain, and that towards the prior of the corpus; priors and the likelihoods of declared values and
 suffixes are counts over all documents, made by grouped aggregation of what the text alone says.
 
-The trigram tables are fitted on a sample of labelled documents, at most `train_rows` of them (those with the least
-hashes of their ids); texts do not leave the executors for it.  A text's likelihood counts as that of at most
+Every label has a trigram table.  It is fitted on about `train_rows` documents of the label (those with the least hashes of
+id and text), or on all if it has no more; texts do not leave the executors for it.  A text's likelihood counts as that of at most
 `effective` trigrams, as neighbouring trigrams are not independent.
 
 A document is rejected (kept = false) if its text has no letter or if no language gets `least` of the
@@ -28,9 +28,8 @@ from . import shared, words
 from .units import forget
 
 TRAIN_ROWS = 4000
-MOST_LANGUAGES = 64
-#: Values of declared language or suffix that get their own likelihoods; rarer ones share one.
-MOST_VALUES = 1000
+#: Languages whose tables, of 1 MB each, go out in one broadcast; more of them take more broadcasts.
+TABLES_AT_ONCE = 64
 EFFECTIVE = 40.0
 _SMOOTH = 0.5
 _CELLS = 1 << 18
@@ -55,11 +54,14 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cells[some], np.concatenate([[0], np.cumsum(counts)])
 
 
-def train(docs: DataFrame, train_rows: int) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-likelihood tables, from docs (doc_id, text, label)."""
+def train(docs: DataFrame, train_rows: int) -> tuple[list[str], list]:
+    """Languages and the broadcasts of their log-likelihood tables, from docs (doc_id, text, label)."""
     spark = docs.sparkSession
-    chosen = docs.filter("label is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct()
-    sample = shared.by_ids(docs, shared.keep(chosen, "sample"), "doc_id", "left_semi")
+    most = 1 << 31
+    hashed = docs.filter("label is not null").withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(most)))
+    # the least hash is always taken, so that no label is without a document
+    labels = shared.keep(hashed.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("least")), "labels")
+    sample = hashed.join(F.broadcast(labels), "label").filter((F.col("h") * F.col("n") < F.lit(float(train_rows) * most)) | (F.col("h") == F.col("least")))
 
     def count(batches):
         sums: dict = {}
@@ -75,30 +77,43 @@ def train(docs: DataFrame, train_rows: int) -> tuple[list[str], np.ndarray]:
             where = np.flatnonzero(s)
             yield pa.RecordBatch.from_pydict({"label": [label], "n": pa.array([n], pa.int64()), "cells": [where.astype("<i4").tobytes()], "counts": [s[where].astype("<i4").tobytes()]})
 
-    total: dict = {}
+    counted: dict = {}
     for r in sample.select("text", "label").mapInArrow(count, "label string, n long, cells binary, counts binary").toLocalIterator():
-        t = total.setdefault(r.label, [np.zeros(_CELLS), 0])
-        t[0][np.frombuffer(r.cells, "<i4")] += np.frombuffer(r.counts, "<i4")
-        t[1] += r.n
-    names = sorted(sorted(total, key=lambda x: (-total[x][1], x))[:MOST_LANGUAGES])
-    if not names:
-        return [], np.zeros((0, _CELLS), np.float32)
-    tables = np.stack([total[x][0] for x in names]) + _SMOOTH
+        counted.setdefault(r.label, []).append((r.cells, r.counts))
+        if len(counted[r.label]) > 16:
+            counted[r.label] = [_packed(_summed(counted[r.label]))]
+    names = sorted(counted)
     # smoothed with the cells of all languages together, so that a cell one of them lacks is not decisive
-    common = tables.sum(axis=0)
-    tables = tables / tables.sum(axis=1, keepdims=True) * 0.98 + 0.02 * common / common.sum()
-    return names, np.log(tables).astype(np.float32)
+    common = np.full(_CELLS, _SMOOTH * len(names))
+    for x in names:
+        common += _summed(counted[x])
+    sent = []
+    for a in range(0, len(names), TABLES_AT_ONCE):
+        tables = np.stack([_summed(counted.pop(x)) for x in names[a : a + TABLES_AT_ONCE]]) + _SMOOTH
+        tables = tables / tables.sum(axis=1, keepdims=True) * 0.98 + 0.02 * common / common.sum()
+        sent.append(spark.sparkContext.broadcast(np.log(tables).astype(np.float32)))
+    return names, sent
 
 
-def text_scores(docs: DataFrame, tables: np.ndarray) -> DataFrame:
+def _summed(parts: list) -> np.ndarray:
+    out = np.zeros(_CELLS)
+    for cells, counts in parts:
+        out[np.frombuffer(cells, "<i4")] += np.frombuffer(counts, "<i4")
+    return out
+
+
+def _packed(sums: np.ndarray) -> tuple[bytes, bytes]:
+    where = np.flatnonzero(sums)
+    return where.astype("<i4").tobytes(), sums[where].astype("<i4").tobytes()
+
+
+def text_scores(docs: DataFrame, models: list) -> DataFrame:
     """docs (doc_id, text, ...) to doc_id, ..., n_trigrams, and ll: log-likelihood per trigram of each language."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(tables)  # at most MOST_LANGUAGES MB
     others = [c for c in docs.columns if c != "text"]
 
     def score(batches):
         forget()
-        table = model.value
+        table = [row for m in models for row in m.value]  # 1 MB a language
         for batch in batches:
             text_at = batch.schema.get_field_index("text")
             for first, texts in words.parts(batch.column(text_at)):
@@ -139,15 +154,10 @@ def host_priors(scored: DataFrame, n: int, strength: float = 5.0) -> DataFrame:
 
 
 def emissions(scored: DataFrame, column: str, n: int) -> DataFrame:
-    """value, emission: log of how likely a document of each language is to have it, for the MOST_VALUES most frequent
-    values; null as value: all others."""
+    """value, rows, emission: log of how likely a document of each language is to have it."""
     counted = shared.keep(scored.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"), _counts(n).alias("own")), "values")
-    sums = [F.sum(F.col("own")[k]) for k in range(n)]
-    every = [float(x or 0) for x in counted.agg(*sums).first()]
-    top = counted.orderBy(F.desc("rows"), "value").limit(MOST_VALUES).select("value", "own")
-    rest = counted.join(F.broadcast(top.select("value")), "value", "left_anti").agg(F.array(*[F.coalesce(s, F.lit(0.0)) for s in sums]).alias("own"))
-    both = top.unionByName(rest.select(F.lit(None).cast("string").alias("value"), "own"))
-    return both.select("value", F.array(*[F.log((F.col("own")[k] + 0.1) / (every[k] + 0.1 * MOST_VALUES)) for k in range(n)]).alias("emission"))
+    *sums, values = counted.agg(*[F.sum(F.col("own")[k]) for k in range(n)], F.count("*")).first()
+    return counted.select("value", "rows", F.array(*[F.log((F.col("own")[k] + 0.1) / (float(sums[k] or 0) + 0.1 * max(1, values))) for k in range(n)]).alias("emission"))
 
 
 def _fuse(rows: DataFrame, names: list[str], least: float, effective: float) -> DataFrame:
@@ -188,21 +198,23 @@ def identify(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"),
         pick(declared).alias("declared"), pick(host).alias("host"), pick(suffix).alias("suffix"),
     )
-    names, tables = train(rows.select("doc_id", "text", "label"), train_rows)
+    names, models = train(rows.select("doc_id", "text", "label"), train_rows)
     n = len(names)
     if not n:
         return rows.select("doc_id", none.alias("language"), F.lit(0.0).alias("probability"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
-    scored = text_scores(rows.drop("label"), tables)
+    scored = text_scores(rows.drop("label"), models)
     scored = scored.withColumn("top", F.when(F.col("n_trigrams") > 0, F.array_position("ll", F.array_max("ll")) - 1))
     scored = shared.keep(scored, "language-scores")
     total = scored.count()
     out = scored
-    for c in ("declared", "suffix"):
-        table = shared.keep(emissions(scored, c, n), f"{c}-emissions")
-        other = F.array(*[F.lit(x) for x in table.filter("value is null").first().emission])
-        known = table.filter("value is not null").select(F.col("value").alias(c), F.col("emission").alias("known"))
-        out = out.join(F.broadcast(known), c, "left")
-        out = out.withColumn(f"{c}_e", F.when(F.col(c).isNotNull(), F.coalesce(F.col("known"), other))).drop("known")
+    for c, given in (("declared", declared), ("suffix", suffix)):
+        without = out.withColumn(f"{c}_e", F.lit(None).cast("array<double>"))
+        if given is None:
+            out = without
+            continue
+        table = shared.keep(emissions(scored, c, n).withColumnRenamed("value", c), f"{c}-emissions")
+        met = shared.join_counted(out.filter(F.col(c).isNotNull()), table, c, "rows", total).withColumnRenamed("emission", f"{c}_e")
+        out = met.select(without.columns).unionByName(without.filter(F.col(c).isNull()))
     priors = shared.keep(host_priors(scored, n), "host-priors")
     with_host = shared.join_counted(out.filter("host is not null"), priors, "host", "rows", total)
     logs = F.transform("prior", lambda x: F.log(x))

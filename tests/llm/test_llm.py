@@ -203,6 +203,15 @@ def test_language(spark):
     assert language_id.accepted(docs(spark, ODD)).columns == docs(spark, ODD).columns
 
 
+def test_language_keeps_rare_labels(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: alphabet[k // 26] * 2 + alphabet[k % 26] * 2
+    rows = [(k, f"{word(k)} " * 9, f"l{k:02d}") for k in range(70)] + [(1000 + i, "the common tongue of most rows", "zz") for i in range(200)] + [(2000 + k, f"{word(k)} " * 7, None) for k in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.language for r in language_id.identify(frame, train_rows=20).filter("doc_id >= 2000").collect()}
+    assert got == {2000 + k: f"l{k:02d}" for k in range(70)}
+
+
 def test_quality(spark):
     frame, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = cotrain.quality_scores(frame, labels.filter("doc_id % 3 <> 0")).join(labels, "doc_id").filter("doc_id % 3 = 0").toPandas()
