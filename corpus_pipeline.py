@@ -14,7 +14,7 @@ from logsieve.ship import shipped
 @shipped
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID accepts."""
-    return language_id.accepted(docs, declared=F.col("lang"), host=F.col("source"))
+    return language_id.accepted(docs, host=F.col("source"))
 
 
 @shipped

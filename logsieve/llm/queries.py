@@ -89,7 +89,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .language_id import identify
 
-    return identify(_documents(spark, sf_dir), declared=F.col("lang"), host=F.col("source"))
+    return identify(_documents(spark, sf_dir), host=F.col("source"))
 
 
 #: Capture times and dated entries of op5, in Spark and in DuckDB: the tables hold neither.  A capture is fetched

@@ -212,6 +212,18 @@ def test_language_keeps_rare_labels(spark):
     assert got == {2000 + k: f"l{k:02d}" for k in range(70)}
 
 
+def test_language_evidence(spark, monkeypatch):
+    given = {}
+    monkeypatch.setattr(language_id, "identify", lambda docs, **options: given.update(options) or docs)
+    queries.op6_language_id(spark, SF)
+    assert given.keys() == {"host"}  # the label that trains is no evidence
+    monkeypatch.undo()
+    rows = [(i, t, l, l * 2, l * 3) for i in range(30) for t, l in (("aaa bab", "a"), ("ccc dcd", "c"))] + [(100, "eee", None, "aa", None), (101, "eee", None, "cc", None), (102, "eee", None, None, "aaa"), (103, "eee", None, None, "ccc"), (104, "aaa", None, "new", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, said string, ending string")
+    got = {r.doc_id: r.language for r in language_id.identify(frame, declared=F.col("said"), suffix=F.col("ending")).filter("doc_id >= 100").collect()}
+    assert got == {100: "a", 101: "c", 102: "a", 103: "c", 104: "a"}
+
+
 def test_quality(spark):
     frame, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = cotrain.quality_scores(frame, labels.filter("doc_id % 3 <> 0")).join(labels, "doc_id").filter("doc_id % 3 = 0").toPandas()
