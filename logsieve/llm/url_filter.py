@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import shared
 
 SALTS = 64
-#: Most levels of a host and of a path that are looked up; the longer ones first go by the nearest levels.
-HOST_LEVELS, PATH_LEVELS = 32, 32
 
 
 def host_of(url: Column) -> Column:
@@ -37,19 +35,20 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]*(/[^?#]*)?", 1)
 
 
-def keys_of(url: Column) -> Column:
-    """array of (kind, pattern, rank): prefixes are host and leading path segments, domains at least two labels."""
+def keys_of(url: Column, labels_most: int, segments_most: int) -> Column:
+    """array of (kind, pattern, rank): prefixes are host and leading path segments, domains at least two labels.  Keys of
+    more labels or segments than any entry has are left out."""
     host = host_of(url)
     labels = F.split(host, "\\.")
     n = F.size(labels)
     domains = F.transform(
-        F.when(n > 2, F.sequence(F.lit(1), F.least(n - 2, F.lit(HOST_LEVELS)))).otherwise(F.array().cast("array<int>")),
+        F.when((n > 2) & (F.lit(labels_most) >= 2), F.sequence(F.greatest(F.lit(1), n - labels_most), n - 2)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i + 1, n), ".").alias("pattern")),
     )
     segments = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
     m = F.size(segments)
     prefixes = F.transform(
-        F.when(m > 0, F.sequence(F.lit(1), F.least(m, F.lit(PATH_LEVELS)))).otherwise(F.array().cast("array<int>")),
+        F.when((m > 0) & (F.lit(segments_most) >= 1), F.sequence(F.lit(1), F.least(m, F.lit(segments_most)))).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", host, F.array_join(F.slice(segments, F.lit(1), i), "/")).alias("pattern")),
     )
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern")), F.struct(F.lit("domain").alias("kind"), host.alias("pattern")))
@@ -57,8 +56,10 @@ def keys_of(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """kind, pattern, since, until from dated entries (kind, pattern, action, at); until is null while it lasts."""
-    e = entries.filter("pattern is not null and at is not null and action in ('add', 'remove')").select("kind", F.lower("pattern").alias("pattern"), "action", "at")
+    """kind, pattern, since, until from dated entries (kind, pattern, action, at); until is null while it lasts.  Hosts
+    and domains count in lower case, and so does the host of a prefix; its path keeps its case."""
+    lowered = F.concat(F.lower(F.regexp_extract("pattern", "^[^/]*", 0)), F.regexp_replace("pattern", "^[^/]*", ""))
+    e = entries.filter("pattern is not null and at is not null and action in ('add', 'remove')").select("kind", lowered.alias("pattern"), "action", "at")
     # at one time: the last action of the time decides, a removal after an addition
     e = e.groupBy("kind", "pattern", "at").agg(F.max("action").alias("action"))
     w = Window.partitionBy("kind", "pattern").orderBy("at")
@@ -72,7 +73,9 @@ def url_verdicts(captures: DataFrame, entries: DataFrame, id_col: str = "page_id
     rows = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(fetched_col).alias("fetched"), F.monotonically_increasing_id().alias("__ls_seq"))
     rows = shared.keep(rows, "captures")
     valid = shared.keep(intervals(entries), "intervals")
-    keyed = rows.filter("fetched is not null").select("__ls_seq", "fetched", F.explode(keys_of(F.col("url"))).alias("k")).select("__ls_seq", "fetched", "k.kind", "k.pattern")
+    parts = lambda kind, mark: F.max(F.when(F.col("kind") == kind, F.size(F.split("pattern", mark))))
+    labels, segments = valid.agg(parts("domain", "\\."), parts("prefix", "/") - 1).first()
+    keyed = rows.filter("fetched is not null").select("__ls_seq", "fetched", F.explode(keys_of(F.col("url"), labels or 0, segments or 0)).alias("k")).select("__ls_seq", "fetched", "k.kind", "k.pattern")
     # only keys that a list has go on; hot ones are salted
     counted = keyed.groupBy("kind", "pattern").agg(F.count("*").alias("n"))
     listed = counted.join(valid.select("kind", "pattern").distinct(), ["kind", "pattern"], "left_semi")

@@ -252,6 +252,15 @@ def test_url_filter(spark):
     assert url_filter.url_verdicts(frame, entries.limit(0)).filter("blocked").count() == 0 and url_filter.url_verdicts(frame.limit(0), entries).count() == 0
 
 
+def test_url_filter_levels_and_case(spark):
+    at, deep = "2024-01-01 00:00:00", "/".join(f"s{i}" for i in range(40))
+    entries = spark.createDataFrame([("domain", "far.com", "add", at), ("prefix", f"p.org/{deep}", "add", at), ("prefix", "Q.net/EN", "add", at)], "kind string, pattern string, action string, at string").withColumn("at", F.to_timestamp("at"))
+    captures = [(1, "http://" + "a." * 60 + "far.com/"), (2, f"http://p.org/{deep}/end"), (3, "http://q.NET/EN/x"), (4, "http://q.net/en/x"), (5, "http://p.org/" + deep[:-1] + "/end")]
+    frame = spark.createDataFrame(captures, "page_id long, url string").withColumn("fetched", F.to_timestamp(F.lit(at)))
+    got = {r.page_id: r.kind for r in url_filter.url_verdicts(frame, entries).collect() if r.blocked}
+    assert got == {1: "domain", 2: "prefix", 3: "prefix"}
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------------
 
 _W = re.compile("[0-9a-z\u0080-\U0010ffff]+")
