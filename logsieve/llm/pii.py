@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
+from .endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -127,15 +128,14 @@ _NAME = r"[A-Za-z0-9._%+-]"
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
-# Endings that an address in bare words may have.
-ENDINGS = frozenset(
-    "com org net edu gov mil int info biz io ai app dev me co tv us uk ca au nz ie de fr es it nl be ch at pt se no dk fi pl cz ru ua tr gr eu in cn jp kr br mx ar za test example invalid".split()
-)
-#: An address whose "at" or a "dot" is in disguise; at least one disguised dot follows a bare word "at".
+#: An address whose "at" or a "dot" is in disguise.
 _ADDRESS = re.compile(
     rf"(?<!{_NAME}){_NAME}+(?:{_DOT}{_NAME}+)*(?:@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+",
     re.I,
 )
+#: Where a bare word can make an address: a dot, and an "at" before a dotted name.
+_BARE_DOT = re.compile(r"\sdot\s", re.I)
+_BARE_AT = re.compile(r"\sat\s+[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.I)
 _DISGUISED = re.compile(rf"({_AT})|({_DOT})", re.I)
 _BRACKETED_DOT_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}", re.I)
 
@@ -189,11 +189,11 @@ def _address_edits(text: str):
         bracket = any(_BRACKET.search(x[0]) for x in inside)
         plain_at = any(x[1] and not _BRACKET.search(x[0]) for x in inside)
         plain_dots = sum(1 for x in inside if x[2] and not _BRACKET.search(x[0]))
-        # bare words are taken only together and before a known ending: "name at host dot com"; one in brackets is enough
+        # bare words are taken before a top-level domain: "name at host dot com", "name at host.com"; one in brackets is enough
         ending = re.split(r"[\s.]+", m[0])[-1].lower() in ENDINGS
-        if bracket or ending and plain_dots and (plain_at or "@" in m[0]):
+        if bracket or ending and (plain_at or plain_dots and "@" in m[0]):
             for x in inside:
-                if _BRACKET.search(x[0]) or plain_dots:
+                if _BRACKET.search(x[0]) or plain_dots or plain_at:
                     out.append((m.start() + x.start(), m.start() + x.end(), "@" if x[1] else "."))
     for m in _BRACKETED_DOT_IP.finditer(text):
         if not any(a < m.end() and b > m.start() for a, b, _ in out):
@@ -206,7 +206,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and _has_glyph(text):
         return True
     low = text.lower()
-    if " dot " in low or "\ndot" in low or "dot\n" in low:
+    if "dot" in low and _BARE_DOT.search(text) or "at" in low and _BARE_AT.search(text):
         return True
     if ("(" in text or "[" in text or "{" in text or "<" in text) and _BRACKET.search(text):
         return True

@@ -100,6 +100,15 @@ def test_pii_disguises(text, kind, found):
     assert [text[a:b] for a, b in spans[pii.KINDS.index(kind)]] == [found]
 
 
+@pytest.mark.parametrize("found", ["jane at company dot xyz", "jane at company dot cloud", "jane at example.com", "jane at mail.example.sg", "a\tat\tb\tdot\tly", "bob@site dot hk", "jane AT example dot co dot uk"])
+def test_pii_bare_words(found):
+    for text in (found, f"write {found} now", f"({found}), please."):
+        spans = pii.method_spans(text, pii.base_spans(text))
+        assert [text[a:b] for a, b in spans[0]] == [found]
+    for text in ("see you at noon. Then we go", "look at node.js5 now", "it is at step 3.next"):
+        assert pii.method_spans(text, pii.base_spans(text)) == pii.base_spans(text)
+
+
 @pytest.mark.parametrize("text", ["he is at home dot", "one two", "look at this dot that", "", "plain a@b.co and 1.2.3.4", "rest at the end"])
 def test_pii_leaves_clean_text(text):
     base = pii.base_spans(text)
