@@ -101,12 +101,15 @@ def flag_repeats(digests: DataFrame, bits: int, k: int) -> DataFrame:
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 3, max_bits: int = 1 << 29
-) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 3, max_bits: int = 1 << 29,
+    with_column: str | None = None,
+) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and with_column, if given."""
+    more = [with_column] if with_column else []
     digests = docs.select(
-        F.col(id_col).alias("doc_id"), F.unhex(F.sha2(shared.text_of(text_col).cast("binary"), 256)).alias("sha"), F.monotonically_increasing_id().alias("seq")
-    )
+        F.col(id_col).alias("doc_id"), F.unhex(F.sha2(shared.text_of(text_col).cast("binary"), 256)).alias("sha"),
+        F.monotonically_increasing_id().alias("seq"), *more,
+    )
     digests = shared.keep(digests, "digests")
     total = digests.count()
     bits = CHUNK
@@ -117,28 +120,24 @@ def exact_dedup(
     else:
         flagged = shared.keep(flag_repeats(digests, bits, hashes), "flagged")
     alone = flagged.filter(~F.col("maybe")).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", *more
     )
-    maybe = flagged.filter("maybe").select("doc_id", "seq", "sha")
+    maybe = flagged.filter("maybe").select("doc_id", "seq", "sha", *more)
     groups = maybe.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "seq")).alias("stays"))
     groups = shared.keep(groups, "groups")
     joined = shared.join_counted(maybe, groups, "sha", "group_size", total).select(
-        "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("seq") == F.col("stays.seq")).alias("kept"), "sha"
+        "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("seq") == F.col("stays.seq")).alias("kept"), "sha", *more
     )
-    return alone.unionByName(joined).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    sha = F.lower(F.hex("sha")).alias("text_sha256")
+    return alone.unionByName(joined).select("doc_id", "keep_id", "group_size", "kept", sha, *more)
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that `exact_dedup` drops, with all its columns."""
-    marks = shared.keep(exact_dedup(docs, id_col, text_col, **options).select("doc_id", "kept", "text_sha256"), "marks")
-    if marks.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return shared.by_ids(docs, marks.filter(~F.col("kept")).select("doc_id"), id_col, "left_anti")
-    # ids repeat: a row is known by id and text, and of rows that share both one stays
-    per = marks.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"))
-    goes = per.filter(~F.col("kept")).select(F.col("doc_id").alias("__ls_d"), F.col("text_sha256").alias("__ls_s"))
-    sha = shared.fresh(docs, "__ls_sha")
-    rest = docs.withColumn(sha, F.sha2(shared.text_of(text_col).cast("binary"), 256))
-    rest = rest.join(goes, rest[id_col].eqNullSafe(goes["__ls_d"]) & (rest[sha] == goes["__ls_s"]), "left_anti")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rest = rest.groupBy(F.col(id_col).alias("__ls_g"), F.col(sha).alias("__ls_h")).agg(F.first(row).alias("__ls_row"))
-    return rest.select("__ls_row.*")
+    """docs with one row of each text: that with the largest id, with all its columns.  A row is known by id and text; of
+    rows that share both the one whose columns as JSON are least stays."""
+    row = shared.row_hash(text_col)
+    marks = shared.keep(exact_dedup(docs.withColumn(h := shared.fresh(docs, "__ls_h"), row), id_col, text_col, with_column=h, **options), "marks")
+    marks = marks.groupBy("doc_id", F.col(h).alias("h")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    marks = shared.keep(marks.filter("n > 1 or not kept"), "repeated-rows")
+    left = shared.without_rows(docs, marks.filter("not kept"), id_col, row)
+    return shared.one_of_twins(left, marks.filter("kept"), id_col, row)

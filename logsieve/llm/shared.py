@@ -8,7 +8,7 @@ from ..stored import keep, release, remove, scratch, shared_folder  # noqa: F401
 
 #: A key with this share of the rows counts as hot; so there are at most HOT_KEYS hot keys.
 HOT_KEYS = 1000
-HOT_LEAST = 1000
+HOT_LEAST = 64
 #: Broadcasts of ids happen only up to this many rows (8 bytes each), else a shuffled join is used.
 BROADCAST_IDS = 2_000_000
 
@@ -65,4 +65,35 @@ def by_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str, limit: int = BR
 
 
 def text_of(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
+    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def row_hash(*cols: str) -> Column:
+    """With the id, what a row is known by where ids repeat: a hash of the columns that decide about it; null counts
+    as empty."""
+    return F.xxhash64(*[text_of(c) for c in cols])
+
+
+def _with_keys(df: DataFrame, keys: DataFrame, id_col: str, row: Column, how: str, limit: int) -> DataFrame:
+    a, b = fresh(df, "__ls_id"), fresh(df, "__ls_hash")
+    keys = keys.select(F.col("doc_id").alias(a), F.col("h").alias(b)).distinct()
+    if keys.limit(limit + 1).count() <= limit:
+        keys = F.broadcast(keys)
+    return df.join(keys, df[id_col].cast("long").eqNullSafe(keys[a]) & (row == keys[b]), how)
+
+
+def without_rows(df: DataFrame, goes: DataFrame, id_col: str, row: Column, limit: int = BROADCAST_IDS) -> DataFrame:
+    """df without the rows whose id and `row` (a row_hash of df) stand in goes (doc_id, h): broadcast behind a check of its
+    size, shuffled beyond."""
+    return _with_keys(df, goes, id_col, row, "left_anti", limit)
+
+
+def one_of_twins(df: DataFrame, twins: DataFrame, id_col: str, row: Column, limit: int = BROADCAST_IDS) -> DataFrame:
+    """df with one row for each key of twins (doc_id, h), which several rows share: the one whose JSON is least.  Only
+    those rows shuffle."""
+    if twins.isEmpty():
+        return df
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    same = _with_keys(df, twins, id_col, row, "left_semi", limit).select(F.struct(*columns).alias("r"), F.col(id_col).cast("long").alias("i"), row.alias("h"))
+    one = same.groupBy("i", "h").agg(F.min_by("r", F.to_json("r")).alias("r")).select("r.*")
+    return without_rows(df, twins, id_col, row, limit).unionByName(one)
