@@ -2,7 +2,7 @@
 
 For every document: the likelihood of its whole text under each language (byte trigrams of the lower-cased text), the
 declared markup language, the suffix of its address, and a prior for its host.  The host's prior is smoothed towards
-that of its registered domain, and that towards the prior of the corpus; priors and the likelihoods of declared values and
+the other hosts of its registered domain, and that towards the corpus; priors and the likelihoods of declared values and
 suffixes are counts over all documents, made by grouped aggregation of what the text alone says.
 
 Every label has a trigram table.  It is fitted on about `train_rows` documents of the label (those with the least hashes of
@@ -137,30 +137,40 @@ def _counts(n: int) -> Column:
 
 
 def host_priors(scored: DataFrame, n: int, strength: float = 5.0) -> DataFrame:
-    """host, rows, prior: smoothed towards the domain's prior and that towards the corpus's."""
-    hosts = shared.keep(scored.filter("host is not null").groupBy("host").agg(F.count("*").alias("rows"), _counts(n).alias("own")), "host-counts")
+    """host, rows, prior: the host's counts, smoothed towards those of the other hosts of its registered domain, and these
+    towards the corpus.  A host without a domain above it has none but the corpus."""
+    hosts = scored.filter("host is not null").groupBy("host").agg(F.count("*").alias("rows"), _counts(n).alias("own"))
     labels = F.split("host", "\\.")
     hosts = hosts.withColumn("domain", F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host")))
-    sums = [F.sum(F.col("own")[k]).alias(f"s{k}") for k in range(n)]
-    every = scored.filter("top is not null").select(_counts(n).alias("c")).first().c
-    root = (np.array(every) + 1) / (sum(every) + n)
-    domains = hosts.groupBy("domain").agg(F.count("*").alias("n_hosts"), *sums)
-    total = sum((F.col(f"s{k}") for k in range(1, n)), F.col("s0"))
-    domains = domains.select("domain", "n_hosts", F.array(*[(F.col(f"s{k}") + strength * float(root[k])) / (total + strength) for k in range(n)]).alias("above"))
-    domains = shared.keep(domains, "domain-priors")
+    hosts = shared.keep(hosts, "host-counts")
+    root = corpus_prior(scored, n)
+    sums = F.array(*[F.sum(F.col("own")[k]) for k in range(n)])
+    domains = shared.keep(hosts.groupBy("domain").agg(F.count("*").alias("n_hosts"), sums.alias("every")), "domain-counts")
     joined = shared.join_counted(hosts, domains, "domain", "n_hosts", hosts.count())
-    own = sum((F.col("own")[k] for k in range(1, n)), F.col("own")[0])
-    return joined.select("host", "rows", F.array(*[(F.col("own")[k] + strength * F.col("above")[k]) / (own + strength) for k in range(n)]).alias("prior"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
+    others = F.zip_with("every", "own", lambda x, y: x - y)
+    roots = F.array(*[F.lit(float(x)) for x in root])
+    above = F.zip_with("others", roots, lambda x, r: (x + strength * r) / (total("others") + strength))
+    joined = joined.withColumn("others", others).withColumn("above", above)
+    prior = F.zip_with("own", "above", lambda x, u: (x + strength * u) / (total("own") + strength))
+    return joined.select("host", "rows", prior.alias("prior"))
+
+
+def corpus_prior(scored: DataFrame, n: int) -> np.ndarray:
+    every = np.array(scored.filter("top is not null").select(_counts(n).alias("c")).first().c)
+    return (every + 1) / (every.sum() + n)
 
 
 def emissions(scored: DataFrame, column: str, n: int) -> DataFrame:
     """value, rows, emission: log of how likely a document of each language is to have it."""
-    counted = shared.keep(scored.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"), _counts(n).alias("own")), "values")
+    counted = scored.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
+    counted = shared.keep(counted.agg(F.count("*").alias("rows"), _counts(n).alias("own")), "values")
     *sums, values = counted.agg(*[F.sum(F.col("own")[k]) for k in range(n)], F.count("*")).first()
-    return counted.select("value", "rows", F.array(*[F.log((F.col("own")[k] + 0.1) / (float(sums[k] or 0) + 0.1 * max(1, values))) for k in range(n)]).alias("emission"))
+    each = [F.log((F.col("own")[k] + 0.1) / (float(sums[k] or 0) + 0.1 * max(1, values))) for k in range(n)]
+    return counted.select("value", "rows", F.array(*each).alias("emission"))
 
 
-def _fuse(rows: DataFrame, names: list[str], least: float, effective: float) -> DataFrame:
+def _fuse(rows: DataFrame, names: list[str], least: float, effective: float, carry: list[str]) -> DataFrame:
     def fuse(batches):
         for batch in batches:
             m, k = batch.num_rows, len(names)
@@ -177,55 +187,66 @@ def _fuse(rows: DataFrame, names: list[str], least: float, effective: float) ->
             best = p.argmax(axis=1)
             sure = p[np.arange(m), best]
             has = n > 0
-            kept = has & (sure >= least)
+            language = pa.array([names[b] if h else None for b, h in zip(best, has)], pa.string())
+            found = [language, pa.array(np.round(np.where(has, sure, 0.0), 6)), pa.array(n, pa.int64()), pa.array(has & (sure >= least))]
             yield pa.RecordBatch.from_arrays(
-                [column("doc_id"), pa.array([names[b] if h else None for b, h in zip(best, has)], pa.string()), pa.array(np.round(np.where(has, sure, 0.0), 6)), pa.array(n, pa.int64()), pa.array(kept)],
-                ["doc_id", "language", "probability", "n_trigrams", "kept"],
+                [column("doc_id"), *found, *(column(c) for c in carry)], ["doc_id", "language", "probability", "n_trigrams", "kept", *carry]
             )
 
-    return rows.mapInArrow(fuse, "doc_id long, language string, probability double, n_trigrams long, kept boolean")
+    kinds = "".join(f", `{n}` {t}" for n, t in rows.select(*carry).dtypes)
+    return rows.mapInArrow(fuse, "doc_id long, language string, probability double, n_trigrams long, kept boolean" + kinds)
 
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", declared: Column | None = None, host: Column | None = None,
-    suffix: Column | None = None, train_rows: int = TRAIN_ROWS, least: float = 0.5, effective: float = EFFECTIVE,
+    suffix: Column | None = None, train_rows: int = TRAIN_ROWS, least: float = 0.5, effective: float = EFFECTIVE, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of docs: doc_id, language, probability, n_trigrams, kept.  declared, host and suffix are
-    expressions over docs; where they are not given there is no such evidence."""
+    """One row per row of docs: doc_id, language, probability, n_trigrams, kept, and the columns in `carry` as they are.
+    declared, host and suffix are expressions over docs; where they are not given there is no such evidence."""
     none = F.lit(None).cast("string")
-    pick = lambda x: none if x is None else F.lower(x.cast("string"))
+    carried = [f"__ls_carry{k}" for k in range(len(carry))]
+    evidence = {"declared": declared, "host": host, "suffix": suffix}
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"),
-        pick(declared).alias("declared"), pick(host).alias("host"), pick(suffix).alias("suffix"),
-    )
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        F.col(label_col).cast("string").alias("label"),
+        *[(none if x is None else F.lower(x.cast("string"))).alias(c) for c, x in evidence.items()],
+        *[F.col(f"`{c}`").alias(x) for c, x in zip(carry, carried)],
+    )
+    named = lambda out: out.withColumnsRenamed(dict(zip(carried, carry)))
     names, models = train(rows.select("doc_id", "text", "label"), train_rows)
     n = len(names)
     if not n:
-        return rows.select("doc_id", none.alias("language"), F.lit(0.0).alias("probability"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
+        nothing = [none.alias("language"), F.lit(0.0).alias("probability"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept")]
+        return named(rows.select("doc_id", *nothing, *carried))
     scored = text_scores(rows.drop("label"), models)
     scored = scored.withColumn("top", F.when(F.col("n_trigrams") > 0, F.array_position("ll", F.array_max("ll")) - 1))
     scored = shared.keep(scored, "language-scores")
     total = scored.count()
     out = scored
-    for c, given in (("declared", declared), ("suffix", suffix)):
+    for c in ("declared", "suffix"):
         without = out.withColumn(f"{c}_e", F.lit(None).cast("array<double>"))
-        if given is None:
+        if evidence[c] is None:
             out = without
             continue
         table = shared.keep(emissions(scored, c, n).withColumnRenamed("value", c), f"{c}-emissions")
         met = shared.join_counted(out.filter(F.col(c).isNotNull()), table, c, "rows", total).withColumnRenamed("emission", f"{c}_e")
         out = met.select(without.columns).unionByName(without.filter(F.col(c).isNull()))
-    priors = shared.keep(host_priors(scored, n), "host-priors")
-    with_host = shared.join_counted(out.filter("host is not null"), priors, "host", "rows", total)
-    logs = F.transform("prior", lambda x: F.log(x))
-    every = [float(x) for x in scored.filter("top is not null").select(_counts(n).alias("c")).first().c]
-    root = F.array(*[F.lit(float(np.log((x + 1) / (sum(every) + n)))) for x in every])
-    picked = ["doc_id", "n_trigrams", "ll", F.col("declared_e").alias("declared"), F.col("suffix_e").alias("suffix")]
-    fused = with_host.select(*picked, logs.alias("prior")).unionByName(out.filter("host is null").select(*picked, root.alias("prior")))
-    return _fuse(fused, names, least, effective)
-
-
-def accepted(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that are rejected, with all columns.  Of rows that share an id all go if one is rejected."""
-    marks = shared.keep(identify(docs, id_col, **options).filter(~F.col("kept")).select("doc_id").distinct(), "rejected")
-    return shared.by_ids(docs, marks, id_col, "left_anti")
+    picked = ["doc_id", "n_trigrams", "ll", F.col("declared_e").alias("declared"), F.col("suffix_e").alias("suffix"), *carried]
+    root = F.array(*[F.lit(float(np.log(x))) for x in corpus_prior(scored, n)])
+    fused = out.filter("host is null").select(*picked, root.alias("prior"))
+    if host is not None:
+        priors = shared.keep(host_priors(scored, n), "host-priors")
+        met = shared.join_counted(out.filter("host is not null"), priors, "host", "rows", total)
+        fused = fused.unionByName(met.select(*picked, F.transform("prior", lambda x: F.log(x)).alias("prior")))
+    return named(_fuse(fused, names, least, effective, carried))
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without those that are rejected, with all columns.  A row is known by its id and all that decides about it:
+    text, declared language, host and suffix."""
+    evidence = [F.lower(options[c].cast("string")) for c in ("declared", "host", "suffix") if options.get(c) is not None]
+    row = F.xxhash64(shared.text_of(text_col), *[F.coalesce(e, F.lit("")) for e in evidence])
+    marked = identify(docs.withColumn(h := shared.fresh(docs, "__ls_h"), row), id_col, text_col, carry=(h,), **options)
+    goes = shared.keep(marked.filter(~F.col("kept")).select("doc_id", F.col(h).alias("h")).distinct(), "rejected")
+    return shared.without_rows(docs, goes, id_col, row)

@@ -85,11 +85,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shipped
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages are one corpus: documents have labels and a source, pages have declared language, host and
+    suffix.  A page's doc_id is -1 - page_id, and page_id stands beside it."""
     from pyspark.sql import functions as F
 
     from .language_id import identify
-
-    return identify(_documents(spark, sf_dir), host=F.col("source"))
+    from .markup import page_rows
+
+    none = F.lit(None).cast("string")
+    docs = _documents(spark, sf_dir).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), "text", "lang",
+        none.alias("declared"), F.col("source").alias("host"), none.alias("suffix"),
+    )
+    pages = page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("doc_id", -1 - F.col("page_id")).withColumn("lang", none)
+    evidence = {c: F.col(c) for c in ("declared", "host", "suffix")}
+    return identify(docs.unionByName(pages), carry=("page_id",), **evidence)
 
 
 #: Capture times and dated entries of op5, in Spark and in DuckDB: the tables hold neither.  A capture is fetched
