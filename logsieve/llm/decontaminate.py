@@ -2,9 +2,10 @@
 
 Texts become templates: numbers, names and units turn into typed placeholders, other words stay, in lower case.  Every
 window of `window` template words of a benchmark item is hashed (an item of fewer words is one window by itself), and
-windows of documents with the same hash are hits.  A hit counts only if its slots agree: one benchmark value always
-meets the same document value and the other way round, per type.  So an item is found when its numbers, names
-or units were exchanged, and not when its words merely stand around unrelated values.
+windows of documents with the same hash are hits, if their slots agree: one benchmark value always meets the same
+document value and the other way round, per type.  So an item is found when its numbers, names or units were exchanged, and
+not when its words merely stand around unrelated values.  Slots agree exactly if the same places have equal values on both
+sides; the places at which a value stands again are hashed with the template, so that the hash join is the check.
 
 Number: a word of digits only.  Unit: a word of the list.  Name: a word with a capital first letter that does not
 begin a sentence (no `.`, `!`, `?`, `:`, line break or start of the text before it).  A template window needs at least
@@ -12,14 +13,16 @@ half of its words to be none of these.  Every window, whatever its words, is als
 (an exact window), so copies of items that are mostly numbers, names or capitals are found too, in any letter case,
 punctuation or line wrapping.
 
-Whether a capital begins a sentence depends on what stands around, so a template window is also read with each capital as
-a name, and each reading with the first word both as a name and as a literal word, if it has a capital.
+What stands around a window must not decide.  So a template window is read in several ways: a capital that begins a
+sentence is a literal word, or a name; the first word, if it has a capital, is either; and runs are read word by word, or as
+one slot: digits joined by a point or a comma (1,000.5), and names with only blanks between them (Mary Ann).
 
 Benchmark hashes up to BROADCAST_WINDOWS go to every task; beyond, windows of documents and benchmark meet in a shuffled
 join.  Both ways give the same rows.
 
 Defined results: null texts count as empty and have no window; an item without words is never found; repeated items
-and documents each count by themselves; an empty benchmark contaminates nothing; other columns are not read.
+and documents each count by themselves, and documents with null or repeated ids are dropped by id and text; an empty
+benchmark contaminates nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,12 +48,12 @@ UNITS = (
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _MARKS = np.array([0, 0x4E554D0000000001, 0x4E414D4500000003, 0x554E495400000005], np.uint64)
-#: Ways to read a window.
-EXACT, TEMPLATE, TURNED, CAPITALS, CAPITALS_TURNED = range(5)
 #: Keeps hashes of exact windows apart from those of templates.
 _EXACT_MARK = np.uint64(0x4558414354000007)
 _DIGITS = np.zeros(256, bool)
 _DIGITS[48:58] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 13, 32]] = True
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?:\n\r"]] = True
 
@@ -78,34 +81,70 @@ def _unit_hashes() -> np.ndarray:
     return _UNIT_HASHES[0]
 
 
-def templates(texts: pa.Array):
-    """(kinds, kinds with each capital as a name, word hashes, n + 1 offsets) of all words."""
+class Tokens:
+    """Template words of all texts in one reading: kinds, hashes, the first word of each and the n + 1 offsets of texts;
+    plain: whether a token is one word with a capital; wanted: counts of tokens that a window needs one of each of."""
+
+    def __init__(self, kinds, hashes, word, at, plain, wanted):
+        self.kinds, self.hashes, self.word, self.at, self.plain = kinds, hashes, word, at, plain
+        self.wanted = [_sums(w) for w in wanted]
+        self.slots = _sums(kinds != LITERAL)
+        self.marks = np.where(kinds == LITERAL, hashes, _MARKS[kinds])
+        self.template = _rolling(self.marks)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(x, dtype=np.int64)])
+
+
+def readings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[Tokens]]:
+    """(hashes of all words, n + 1 offsets of texts, readings of the words)."""
     data, offs = words.as_bytes(texts)
     starts, ends, at = words.spans(_fold(data), offs)
     if not len(starts):
-        empty = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int8), np.zeros(0, np.int8), empty, at
+        return np.zeros(0, np.uint64), at, []
     # lower case maps letters to letters: the same words stand in both, at other bytes
     low, low_offs = words.as_bytes(words.lowered(texts))
     hashes = words.span_hashes(low, *words.spans(low, low_offs)[:2])
-    kind, capitals = np.zeros(len(starts), np.int8), np.zeros(len(starts), np.int8)
+    literal, capitals = np.zeros(len(starts), np.int8), np.zeros(len(starts), np.int8)
     # names: a capital first letter, and no sentence end between the last word and this one
     first = data[starts]
     second = data[np.minimum(starts + 1, len(data) - 1)]
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    stops = np.concatenate([[0], np.cumsum(_SENTENCE_END[data])])
+    stops = _sums(_SENTENCE_END[data])
     previous = np.concatenate([[0], ends[:-1]])
-    previous[at[:-1][at[:-1] < len(starts)]] = -1
-    begins = (previous < 0) | (stops[starts] > stops[np.maximum(previous, 0)])
-    kind[capital & ~begins] = capitals[capital] = NAME
+    opens = at[:-1][at[:-1] < len(starts)]
+    previous[opens] = starts[opens]
+    begins = stops[starts] > stops[previous]
+    begins[opens] = True
+    literal[capital & ~begins] = capitals[capital] = NAME
     units = _unit_hashes()
     where = np.minimum(np.searchsorted(units, hashes), len(units) - 1)
     unit = units[where] == hashes
-    kind[unit] = capitals[unit] = UNIT
-    digits = np.concatenate([[0], np.cumsum(_DIGITS[data])])
+    digits = _sums(_DIGITS[data])
     number = digits[ends] - digits[starts] == ends - starts
-    kind[number] = capitals[number] = NUMBER
-    return kind, capitals, hashes, at
+    for kinds in (literal, capitals):
+        kinds[unit], kinds[number] = UNIT, NUMBER
+    # runs: what stands between a word and the last one
+    gap = starts - previous
+    blanks = _sums(_BLANK[data])
+    apart = blanks[starts] - blanks[previous] == gap
+    joint = (gap == 1) & np.isin(data[previous.clip(max=len(data) - 1)], (44, 46))
+    apart[opens] = joint[opens] = False
+    whole, every, unlike = _rolling(hashes), np.arange(len(starts)), literal != capitals
+    named = capitals == NAME
+    out = [Tokens(literal, hashes, every, at, named, []), Tokens(capitals, hashes, every, at, named, [unlike])]
+    for kinds, needs in ((literal, False), (capitals, True)):
+        again = np.zeros(len(kinds), bool)
+        again[1:] = (kinds[1:] == kinds[:-1]) & ((kinds[1:] == NAME) & apart[1:] | (kinds[1:] == NUMBER) & joint[1:])
+        if again.any():
+            begin = np.flatnonzero(~again)
+            size = np.diff(np.append(begin, len(kinds)))
+            both = np.where(size > 1, words.mix(whole(begin, size) + size.astype(np.uint64)), hashes[begin])
+            change = np.add.reduceat(unlike.astype(np.int64), begin) > 0
+            wanted = [size > 1, change] if needs else [size > 1]
+            out.append(Tokens(kinds[begin], both, begin, np.searchsorted(begin, at), named[begin] & (size == 1), wanted))
+    return hashes, at, out
 
 
 def _rolling(marks: np.ndarray):
@@ -115,165 +154,158 @@ def _rolling(marks: np.ndarray):
     return lambda begin, n: (total[begin + n] - total[begin]) * down[begin]
 
 
-def windows(texts: pa.Array, lengths: list[int]):
-    """(text number, first word, length, hash, way) of the windows, one array each, and the arrays of templates().  A
-    window of literal words only is its own template, so it is there once, as an exact one; readings that are the same are
-    there once too."""
-    kind, capitals, hashes, at = templates(texts)
-    real = _rolling(hashes)
-    readings = []
-    for kinds, way in ((kind, TEMPLATE), (capitals, CAPITALS)):
-        marks = np.where(kinds == LITERAL, hashes, _MARKS[kinds])
-        readings.append((kinds, way, marks, np.concatenate([[0], np.cumsum(kinds != LITERAL)]), _rolling(marks)))
-    unlike = np.concatenate([[0], np.cumsum(kind != capitals)])
+def repeats(kinds: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each row of (windows, places) kinds and values a hash of which places hold a value of an earlier place of the
+    same kind, and of which; 0 if none does.  Two windows of one template agree one to one exactly if theirs are equal."""
+    out = np.zeros(len(kinds), np.uint64)
+    for j in range(1, kinds.shape[1]):
+        first = np.full(len(kinds), j)
+        for i in range(j - 1, -1, -1):
+            first[(kinds[:, i] == kinds[:, j]) & (values[:, i] == values[:, j]) & (kinds[:, j] != LITERAL)] = i
+        again = first < j
+        if again.any():
+            out[again] += words.mix((first[again] + 64 * j).astype(np.uint64))
+    return out
+
+
+def _begins(at: np.ndarray, n: int, most: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first token) of the runs of n tokens inside a text, of texts with most == n if it is given."""
+    counts = np.maximum(np.diff(at) - n + 1, 0)
+    if most is not None:
+        counts[most != n] = 0
+    text = np.repeat(np.arange(len(counts)), counts)
+    return text, at[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
+
+
+def windows(texts: pa.Array, lengths: tuple[list[int], list[int]] | None, window: int, known=None):
+    """(text number, first word, length, template hash, hash) of the windows, one array each.  lengths: those of exact and
+    of template windows; None: each text has windows of its own length, `window` at most.  known: sorted template hashes;
+    others are left out before the slots are read."""
+    hashes, at, ways = readings(texts)
     out = []
 
-    def add(text, begin, n, sums, way):
-        out.append((text, begin, np.full(len(begin), n), words.mix(sums + np.uint64(n)), np.full(len(begin), way, np.int8)))
-
-    def add_template(text, begin, n, sums, filled, way):
-        good = (filled > 0) & (2 * (n - filled) >= n)
-        add(text[good], begin[good], n, sums[good], way)
-
-    for n in lengths:
-        counts = np.maximum(np.diff(at) - n + 1, 0)
-        text = np.repeat(np.arange(len(counts)), counts)
-        begin = at[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
-        add(text, begin, n, real(begin, n) ^ _EXACT_MARK, EXACT)
-        for kinds, way, marks, slots, template in readings:
-            if way == CAPITALS:  # unlike the first reading, not only in the first word
-                new = unlike[begin + n] > unlike[begin + 1]
-                text, begin = text[new], begin[new]
-            sums, filled = template(begin, n), slots[begin + n] - slots[begin]
-            add_template(text, begin, n, sums, filled, way)
-            turn = np.flatnonzero(capitals[begin] == NAME)
-            first = begin[turn]
-            named = kinds[first] == NAME
-            other = np.where(named, hashes[first], _MARKS[NAME])
-            add_template(text[turn], first, n, sums[turn] + other - marks[first], filled[turn] + np.where(named, -1, 1), way + 1)
+    def add(text, word, n, template, full=None):
+        """full(rows): hashes of these rows."""
+        keep = np.arange(len(text))
+        if known is not None:
+            where = np.minimum(np.searchsorted(known, template), len(known) - 1)
+            keep = np.flatnonzero(known[where] == template)
+        if len(keep):
+            exact = template[keep] if full is None else full(keep)
+            out.append((text[keep], word[keep], np.full(len(keep), n), template[keep], exact))
+
+    def all_lengths(own, k):
+        most = np.minimum(np.diff(own), window) if lengths is None else None
+        return most, sorted({int(n) for n in most if n}) if lengths is None else lengths[k]
+
+    most, these = all_lengths(at, 0)
+    real = _rolling(hashes)
+    for n in these:
+        text, begin = _begins(at, n, most)
+        add(text, begin, n, words.mix(real(begin, n) + np.uint64(n)) ^ _EXACT_MARK)
+
+    for t in ways:
+        most, these = all_lengths(t.at, 1)
+        for n in these:
+            text, begin = _begins(t.at, n, most)
+            some = np.ones(len(begin), bool)
+            for w in t.wanted:
+                some &= w[begin + n] > w[begin]
+            filled = t.slots[begin + n] - t.slots[begin]
+            turn = some & t.plain[begin]  # the first word is a name or not
+            other = np.where(t.kinds[begin] == NAME, -1, 1)
+            for turned in (False, True):
+                count = filled + other if turned else filled
+                good = np.flatnonzero((turn if turned else some) & (count > 0) & (2 * (n - count) >= n))
+                if not len(good):
+                    continue
+                b, c = begin[good], count[good]
+                sums = t.template(b, n)
+                if turned:
+                    sums = sums + np.where(t.kinds[b] == NAME, t.hashes[b], _MARKS[NAME]) - t.marks[b]
+                template = words.mix(sums + np.uint64(n))
+
+                def full(rows, b=b, c=c, n=n, t=t, template=template, turned=turned):
+                    found = template[rows].copy()
+                    two = np.flatnonzero(c[rows] > 1)
+                    for k in range(0, len(two), 1 << 15):
+                        part = two[k : k + (1 << 15)]
+                        places = b[rows[part]][:, None] + np.arange(n)
+                        kinds = t.kinds[places]
+                        if turned:
+                            kinds[:, 0] = np.where(kinds[:, 0] == NAME, LITERAL, NAME)
+                        found[part] += repeats(kinds, t.hashes[places])
+                    return found
+
+                add(text[good], t.word[b], n, template, full)
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64), z, (kind, capitals, hashes, at)
-    text, begin, length, found, way = (np.concatenate(x) for x in zip(*out))
-    return text, begin, length, found, way, (kind, capitals, hashes, at)
-
-
-def slots_of(begin: int, n: int, way: int, kind: np.ndarray, capitals: np.ndarray, hashes: np.ndarray) -> bytes:
-    """Kinds and values of the slots of a window: one u64 for the place and kind, one for the value, each.  An exact
-    window has none."""
-    if way == EXACT:
-        return b""
-    own = (capitals if way in (CAPITALS, CAPITALS_TURNED) else kind)[begin : begin + n]
-    if way in (TURNED, CAPITALS_TURNED):
-        own = own.copy()
-        own[0] = LITERAL if own[0] == NAME else NAME
-    where = np.flatnonzero(own != LITERAL)
-    tag = where.astype(np.uint64) << np.uint64(8) | own[where].astype(np.uint64)
-    return np.stack([tag, hashes[begin + where]], axis=1).tobytes()
-
-
-def consistent(a: bytes, b: bytes) -> bool:
-    """Whether the slots of two windows with the same template agree one to one, per type."""
-    x, y = np.frombuffer(a, np.uint64).reshape(-1, 2).tolist(), np.frombuffer(b, np.uint64).reshape(-1, 2).tolist()
-    if [t for t, _ in x] != [t for t, _ in y]:
-        return False
-    there, back = {}, {}
-    for (tag, v), (_, w) in zip(x, y):
-        k = tag & 0xFF
-        if there.setdefault((k, v), w) != w or back.setdefault((k, w), v) != v:
-            return False
-    return True
+        return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint64), at
+    return *(np.concatenate(x) for x in zip(*out)), at
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """item_id, length, hash, slots of each window; an item of fewer words has one window of its own length."""
+    """item_id, length, template, hash of each window; an item of fewer words has one
+    window of its own length."""
 
     def cut(batches):
         for batch in batches:
             for first, texts in words.parts(batch.column(1)):
-                counts = np.diff(words.word_hashes(words.lowered(texts))[1])
-                rows = []
-                for n in sorted({min(window, int(c)) for c in counts if c}):
-                    text, begin, length, found, way, (*kinds, hashes, _) = windows(texts, [n])
-                    own = np.minimum(window, counts[text]) == n
-                    rows += [(int(t), n, int(h), slots_of(int(b), n, w, *kinds, hashes)) for t, b, h, w in zip(text[own], begin[own], found[own].view(np.int64), way[own])]
-                if rows:
-                    ids = batch.column(0).slice(first, len(texts)).to_pylist()
-                    t, n, h, s = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in t], pa.int64()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(s, pa.binary())], ["item_id", "length", "hash", "slots"])
+                text, _, length, template, found, _ = windows(texts, None, window)
+                ids = batch.column(0).slice(first, len(texts)).take(pa.array(text))
+                hashes = [pa.array(x.view(np.int64)) for x in (template, found)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(length, pa.int32()), *hashes], ["item_id", "length", "template", "hash"])
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(cut, "item_id long, length int, hash long, slots binary")
+    return rows.mapInArrow(cut, "item_id long, length int, template long, hash long")
 
 
-def _document_windows(docs: DataFrame, lengths: list[int], known) -> DataFrame:
-    """doc_id, row, at, length, hash, slots of document windows; of those in `known` (a broadcast sorted array) if given."""
+def _document_windows(docs: DataFrame, lengths: list[int], window: int, known) -> DataFrame:
+    """doc_id, h, row, at, length, hash of the windows of docs (doc_id, text, h, row); of those whose template is in `known`
+    (a broadcast sorted array) if given."""
 
     def cut(batches):
         forget()
         table = known.value if known is not None else None
         for batch in batches:
             for first, texts in words.parts(batch.column(1)):
-                text, begin, length, found, way, (*kinds, hashes, at) = windows(texts, lengths)
-                if table is not None:
-                    where = np.minimum(np.searchsorted(table, found), len(table) - 1)
-                    hit = np.flatnonzero(table[where] == found)
-                else:
-                    hit = np.arange(len(found))
-                for a in range(0, len(hit), 1 << 16):
-                    h = hit[a : a + (1 << 16)]
-                    slots = [slots_of(int(b), int(n), w, *kinds, hashes) for b, n, w in zip(begin[h], length[h], way[h])]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(first, len(texts)).take(pa.array(text[h])), batch.column(2).slice(first, len(texts)).take(pa.array(text[h])), pa.array((begin[h] - at[text[h]]).astype(np.int32)), pa.array(length[h].astype(np.int32)),
-                         pa.array(found[h].view(np.int64)), pa.array(slots, pa.binary())],
-                        ["doc_id", "row", "at", "length", "hash", "slots"],
-                    )
-
-    return docs.mapInArrow(cut, "doc_id long, row long, at int, length int, hash long, slots binary")
-
-
-def _agree():
-    @F.pandas_udf("boolean")
-    def agree(a, b):
-        import pandas as pd
-
-        return pd.Series([consistent(x, y) for x, y in zip(a, b)], dtype=bool)
+                text, word, length, _, found, at = windows(texts, (lengths, lengths), window, table)
+                for a in range(0, len(text), 1 << 16):
+                    t = text[a : a + (1 << 16)]
+                    own = [batch.column(c).slice(first, len(texts)).take(pa.array(t)) for c in (0, 2, 3)]
+                    b = slice(a, a + len(t))
+                    where = [pa.array((word[b] - at[t]).astype(np.int32)), pa.array(length[b].astype(np.int32)), pa.array(found[b].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*own, *where], ["doc_id", "h", "row", "at", "length", "hash"])
 
-    return agree
+    return docs.mapInArrow(cut, "doc_id long, h long, row long, at int, length int, hash long")
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, window: int, broadcast_windows: int) -> DataFrame:
-    """doc_id, row, at, length, items: document windows with consistent slots, and the sorted ids of all items that have
+    """doc_id, h, row, at, length, items: document windows with consistent slots, and the sorted ids of all items that have
     them.  A window that is found in several ways has several rows."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), shared.row_hash(text_col).alias("h"))
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
     known = shared.keep(benchmark_windows(benchmark, window=window).distinct(), "benchmark-windows")
     lengths = sorted(r.length for r in known.select("length").distinct().toLocalIterator())  # at most `window` of them
-    # windows that items share meet document windows once: the join is on the hash's distinct slot patterns
-    patterns = known.select("length", "hash", "slots").distinct()
-    few = known.select("hash").distinct().limit(broadcast_windows + 1).count() <= broadcast_windows
+    templates = known.select("template").distinct()
     table = None
-    if few:
-        found = [r.hash for r in known.select("hash").distinct().toLocalIterator()]  # at most broadcast_windows
-        if not found:
-            return spark.createDataFrame([], "doc_id long, row long, at int, length int, items array<long>")
-        table = spark.sparkContext.broadcast(np.sort(np.array(found, np.int64).view(np.uint64)))
-    hits = _document_windows(docs, lengths, table)
-    # many documents share a passage: equal windows are compared once, by pre-aggregated patterns
-    if not few:
-        hits = hits.join(known.select("length", "hash").distinct(), ["length", "hash"], "left_semi")
-    hits = shared.keep(hits, "window-hits")
-    pairs = hits.groupBy("length", "hash", "slots").agg(F.count("*").alias("n"))
-    pairs = shared.keep(pairs, "hit-patterns")
-    good = pairs.join(patterns.withColumnRenamed("slots", "item_slots"), ["length", "hash"])
-    good = good.filter((F.col("slots") == F.col("item_slots")) | _agree()("slots", "item_slots"))
-    good = shared.keep(good, "good-patterns")
-    items = good.join(known.withColumnRenamed("slots", "item_slots"), ["length", "hash", "item_slots"]).select("length", "hash", "slots", "item_id").distinct()
-    key = F.struct("length", "hash", "slots").alias("pattern")
-    listed = items.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("item_id"))).getField("item_id").alias("items")).join(pairs.select(key, "n"), "pattern")
-    listed = shared.keep(listed, "listed-patterns")
-    matched = shared.join_counted(hits.select("doc_id", "row", "at", key), listed, "pattern", "n", docs.count())
-    return matched.select("doc_id", "row", "at", "pattern.length", "items")
+    if templates.limit(broadcast_windows + 1).count() <= broadcast_windows:
+        found = np.fromiter((r.template for r in templates.toLocalIterator()), np.int64)  # at most broadcast_windows
+        if not len(found):
+            return spark.createDataFrame([], "doc_id long, h long, row long, at int, length int, items array<long>")
+        table = spark.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+    hits = _document_windows(docs, lengths, window, table)
+    key = ["length", "hash"]
+    hits = shared.keep(hits.join(known.select(key).distinct(), key, "left_semi"), "window-hits")
+    # many documents share a passage
+    pairs = shared.keep(hits.groupBy(key).agg(F.count("*").alias("n")), "hit-windows")
+    listed = known.join(pairs, key).groupBy(F.struct(*key).alias("window"), "n")
+    listed = shared.keep(listed.agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.count_if(F.col("item_id").isNull()).alias("nulls")), "listed-windows")
+    listed = listed.withColumn("items", F.when(F.col("nulls") > 0, F.concat(F.array(F.lit(None).cast("long")), "items")).otherwise(F.col("items")))
+    hits = hits.select("doc_id", "h", "row", "at", F.struct(*key).alias("window"))
+    matched = shared.join_counted(hits, listed.drop("nulls"), "window", "n", docs.count())
+    return matched.select("doc_id", "h", "row", "at", "window.length", "items")
 
 
 def _counted(matched: DataFrame) -> DataFrame:
@@ -299,7 +331,7 @@ def benchmark_hits(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that have a benchmark window."""
+    """docs without those that have a benchmark window.  A row is known by its id and text."""
     matched = _matches(docs, benchmark, id_col, text_col, **({"window": WINDOW, "broadcast_windows": BROADCAST_WINDOWS} | options))
-    found = shared.keep(matched.select("doc_id").distinct(), "contaminated")
-    return shared.by_ids(docs, found, id_col, "left_anti")
+    found = shared.keep(matched.select("doc_id", "h").distinct(), "contaminated")
+    return shared.without_rows(docs, found, id_col, shared.row_hash(text_col))

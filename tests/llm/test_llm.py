@@ -224,8 +224,11 @@ def test_language_keeps_rare_labels(spark):
 def test_language_evidence(spark, monkeypatch):
     given = {}
     monkeypatch.setattr(language_id, "identify", lambda docs, **options: given.update(options) or docs)
-    queries.op6_language_id(spark, SF)
-    assert given.keys() == {"host"}  # the label that trains is no evidence
+    corpus = queries.op6_language_id(spark, SF)
+    assert given.keys() == {"declared", "host", "suffix", "carry"}
+    # the label that trains is no evidence, and pages have no label
+    assert corpus.filter("lang is not null and (declared is not null or suffix is not null)").isEmpty()
+    assert corpus.filter("page_id is not null and lang is not null").isEmpty() and not corpus.filter("declared is not null").isEmpty()
     monkeypatch.undo()
     rows = [(i, t, l, l * 2, l * 3) for i in range(30) for t, l in (("aaa bab", "a"), ("ccc dcd", "c"))] + [(100, "eee", None, "aa", None), (101, "eee", None, "cc", None), (102, "eee", None, None, "aaa"), (103, "eee", None, None, "ccc"), (104, "aaa", None, "new", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, said string, ending string")
@@ -233,6 +236,93 @@ def test_language_evidence(spark, monkeypatch):
     assert got == {100: "a", 101: "c", 102: "a", 103: "c", 104: "a"}
 
 
+def brute_languages(rows, strength=5.0):
+    """(language, probability) of (text, label, declared, host, suffix) rows, by loops over single trigrams."""
+    cls = lambda b: b - 96 if 97 <= b <= 122 else 27 + (b - 128) % 37 if b >= 128 else 0
+    def grams(t):
+        c = [cls(b) for b in (" " + (t or "").lower() + " ").encode()]
+        return [x for x in (c[i] << 12 | c[i + 1] << 6 | c[i + 2] for i in range(len(c) - 2)) if x]
+    names = sorted({r[1] for r in rows if r[1]})
+    counts = {n: collections.Counter(g for r in rows if r[1] == n for g in grams(r[0])) for n in names}
+    cells, every = 1 << 18, collections.Counter()
+    for c in counts.values():
+        every += c
+    mass = sum(every.values()) + 0.5 * len(names) * cells
+    like = lambda g, n: 0.98 * (counts[n][g] + 0.5) / (sum(counts[n].values()) + 0.5 * cells) + 0.02 * (every[g] + 0.5 * len(names)) / mass
+    per, top = [], []
+    for r in rows:
+        gs = grams(r[0])
+        per.append([float(np.mean([np.log(like(g, n)) for g in gs])) if gs else 0.0 for n in names])
+        top.append(int(np.argmax(per[-1])) if gs else None)
+    k = len(names)
+    tally = lambda of: np.array([sum(1 for i in of if top[i] == j) for j in range(k)], float)
+    where = lambda f: [i for i, r in enumerate(rows) if f(r)]
+    root = (tally(range(len(rows))) + 1) / (sum(t is not None for t in top) + k)
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h.count(".") > 1 else h
+    out = []
+    for i, (_, _, declared, host, suffix) in enumerate(rows):
+        total = np.array(per[i]) * min(len(grams(rows[i][0])), 40.0)
+        if host is None:
+            total += np.log(root)
+        else:
+            own = tally(where(lambda r: r[3] == host))
+            others = tally(where(lambda r: r[3] is not None and r[3] != host and domain(r[3]) == domain(host)))
+            above = (others + strength * root) / (others.sum() + strength)
+            total += np.log((own + strength * above) / (own.sum() + strength))
+        for c, value in ((2, declared), (4, suffix)):
+            if value is not None:
+                known = tally(where(lambda r: r[c] is not None))
+                total += np.log((tally(where(lambda r: r[c] == value)) + 0.1) / (known + 0.1 * len({r[c] for r in rows if r[c] is not None})))
+        p = np.exp(total - total.max())
+        p /= p.sum()
+        out.append((names[int(p.argmax())], float(p.max()), len(grams(rows[i][0]))) if grams(rows[i][0]) else (None, 0.0, 0))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rnd = random.Random(11)
+    speech = {"a": "aabeio", "b": "bcdfo", "c": "éacßxü"}
+    rows = []
+    for _ in range(150):
+        n = rnd.choice("aaabc")
+        text = " ".join("".join(rnd.choice(speech[n]) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(0, 5)))
+        host = rnd.choice([None, "src1", "x.org", "www.x.org", f"{n}.x.org", f"{n}.y.com", "www.y.com"])
+        rows.append((rnd.choice([text, text, text, None, ""]), rnd.choice([n, None]), rnd.choice([n, None, "zz", "a"]), host, rnd.choice([None, "org", n])))
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, said string, place string, ending string")
+    got = language_id.identify(frame.repartition(3), declared=F.col("said"), host=F.col("place"), suffix=F.col("ending")).collect()
+    want = brute_languages(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        language, p, n = want[r.doc_id]
+        assert r.n_trigrams == n and abs(r.probability - p) < 1e-4 and (r.language == language or p < 0.51) and r.kept == (n > 0 and r.probability >= 0.5)
+
+
+def test_page_text(spark):
+    from logsieve.llm.markup import page_rows, page_text
+
+    cases = {
+        "<html lang='fr-CA'><body>a<script>if (x<y) '</p>'</script>b<!-- c <p> -->d &amp; e<br/>f</body>": (" ab d & e f".split(), "fr"),
+        "<HTML data-lang=xx LANG=De><style>p{}</style>x < y <1": (["x", "<", "y", "<1"], "de"),
+        "plain": (["plain"], None), "": ([], None), "<p>open <script>never closed": (["open"], None), "<!-- never": ([], None), "<p lang=es>a": (["a"], None),
+    }
+    for source, (shown, language) in cases.items():
+        text, said = page_text(source)
+        assert ("".join(text.split()), said) == ("".join(shown), language), source
+    import time
+
+    begin = time.time()
+    page_text("<script>" * 200_000), page_text("<!-- " * 200_000), page_text("<p lang=" * 200_000)
+    assert time.time() - begin < 3
+    frame = spark.createDataFrame([(1, "https://A.b.FR:8/x", "<html lang=fr>é"), (2, None, None), (None, "http://1.2.3.4/", "x")], "page_id long, url string, html string")
+    assert sorted(((r.page_id or 0, r.text, r.declared, r.host, r.suffix) for r in page_rows(frame).collect())) == [(0, "x", None, "1.2.3.4", None), (1, " é", "fr", "a.b.fr", "fr"), (2, "", None, None, None)]
+
+
+def test_language_drops_rows(spark):
+    rows = [(1, "one two three"), (1, None), (None, "one two"), (None, ""), (2, "12 34"), (2, "two one"), (3, "three one"), (3, "three one")]
+    left = language_id.accepted(docs(spark, rows), host=F.col("source")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, "one two"), (1, "one two three"), (2, "two one"), (3, "three one"), (3, "three one")]
+
+
 def test_quality(spark):
     frame, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = cotrain.quality_scores(frame, labels.filter("doc_id % 3 <> 0")).join(labels, "doc_id").filter("doc_id % 3 = 0").toPandas()
@@ -316,6 +406,47 @@ def test_near_duplicates(spark, block):
     assert got == brute_near(rows)
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_rows(spark, block):
+    """One row of each class stays, whatever the ids; brute force over rows."""
+    rnd = random.Random(9)
+    base = [[f"w{rnd.randrange(300)}" for _ in range(60)] for _ in range(4)]
+    rows = [(3, "a b c d"), (5, "e f g h"), (5, "q r s t"), (None, "i j k l"), (None, "m n o p"), (None, "A b, c d"), (None, None), (5, ""), (None, "i j k l")]
+    for k in range(60):
+        w = list(base[k % 4])
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(60)] = f"z{rnd.randrange(50)}"
+        rows.append((rnd.choice([None, rnd.randrange(12)]), " ".join(w)))
+    numbered = brute_near([(i, t) for i, (_, t) in enumerate(rows)])
+    groups = collections.defaultdict(list)
+    for i, c, _ in numbered:
+        groups[c].append(i)
+    frame = docs(spark, rows)
+    left = [(r.doc_id, r.text) for r in near_dups.one_of_each(frame, block=block).collect()]
+    assert len(left) == len(groups) and not collections.Counter(left) - collections.Counter(rows)
+    for g in groups.values():
+        ids = [rows[i][0] for i in g if rows[i][0] is not None]
+        assert sum(min(collections.Counter(left)[rows[i]], 1) for i in g) >= 1
+        assert len(g) == 1 or not ids or any((min(ids), rows[i][1]) in left for i in g)
+    got = sorted((r.doc_id or -1, r.class_id if r.class_id is not None else -1, r.n_links) for r in near_dups.near_duplicates(frame, block=block).collect())
+    least = lambda g: min((rows[i][0] for i in g if rows[i][0] is not None), default=-1)
+    assert got == sorted((rows[i][0] or -1, least(groups[c]), n) for i, c, n in numbered)
+
+
+def test_near_chains(spark):
+    """A long chain of similar texts is one component, whose pairs mostly share no band: compared by bucket."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 80])) for i in range(80)] + [(100 + i, " ".join(words[i : i + 80])) for i in range(40)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_dups.near_duplicates(docs(spark, rows), block=4).collect())
+    assert got == brute_near(rows)
+
+
+def test_exact_rows(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "d"), (None, None), (4, ""), (4, ""), (None, "d")]
+    left = exact_dedup.without_copies(docs(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, "c"), (0, "d"), (1, "b"), (2, "a"), (4, "")]
+
+
 def test_near_edges(spark):
     assert near_dups.band_shape(0.8, 0.9999) == (18, 4)
     assert near_dups.near_duplicates(docs(spark, ODD).limit(0)).count() == 0
@@ -338,12 +469,39 @@ def test_decontamination(spark, limit):
 
 
 def test_slots_agree_one_to_one():
-    enc = lambda *xs: np.array(xs, np.uint64).tobytes()
-    n = decontaminate.NUMBER
-    a = enc(0 << 8 | n, 7, 3 << 8 | n, 7, 5 << 8 | n, 9)
-    assert decontaminate.consistent(a, enc(0 << 8 | n, 1, 3 << 8 | n, 1, 5 << 8 | n, 2))
-    assert not decontaminate.consistent(a, enc(0 << 8 | n, 1, 3 << 8 | n, 2, 5 << 8 | n, 3))
-    assert not decontaminate.consistent(a, enc(0 << 8 | n, 1, 3 << 8 | n, 1, 5 << 8 | n, 1))
+    """Equal patterns of repeats mean one-to-one agreement, per kind; brute force over small windows."""
+    rnd = random.Random(5)
+    kinds = [[rnd.choice([0, 1, 1, 2]) for _ in range(5)] for _ in range(30)]
+    for own in kinds:
+        values = np.array([[rnd.randrange(3) for _ in own] for _ in range(40)], np.uint64)
+        found = decontaminate.repeats(np.array([own] * 40, np.int8), values)
+        for i in range(40):
+            for j in range(40):
+                there, back, same = {}, {}, True
+                for k, x, y in zip(own, values[i].tolist(), values[j].tolist()):
+                    if k:
+                        same &= there.setdefault((k, x), y) == y and back.setdefault((k, y), x) == x
+                assert same == (found[i] == found[j])
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 1])
+def test_runs_are_one_slot(spark, limit):
+    item = "Then Mary Ann bought 1,000 pens and 3.5 kg of rice, so how many pens does Mary Ann have per child at home?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.replace("Mary Ann", "Tom").replace("1,000", "500").replace("3.5", "4")), (2, item.replace("so how many pens does Mary Ann", "so how many pens does Bob")),
+            (3, "Ask Bob " + item.replace("1,000", "12")), (4, item.replace("1,000 pens", "1,000 and 1 pens"))]
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.benchmark_links(docs(spark, rows), bench, broadcast_windows=limit).collect()}
+    assert got.keys() == {(1, 1), (2, 1), (3, 1), (4, 1)} and got[1, 1] >= 5 and got[4, 1] < got[3, 1]
+
+
+def test_decontamination_drops_rows(spark):
+    item = "what is the name of the town that lies by the old stone bridge"
+    bench = spark.createDataFrame([(1, item), (None, item)], "item_id long, text string")
+    rows = [(1, item), (1, "clean"), (None, item), (None, "clean too"), (None, None), (2, "so " + item), (2, "so " + item), (3, ""), (3, "")]
+    for limit in (2_000_000, 1):
+        left = decontaminate.decontaminated(docs(spark, rows), bench, broadcast_windows=limit)
+        assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "clean too"), (1, "clean"), (3, ""), (3, "")] and left.columns == docs(spark, rows).columns
+    assert {(r.doc_id, r.item_id) for r in decontaminate.benchmark_links(docs(spark, rows), bench).collect()} == {(d, i) for d in (1, 2, None) for i in (1, None)}
 
 
 @pytest.mark.parametrize("limit", [2_000_000, 1])
