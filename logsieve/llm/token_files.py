@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import uuid
 import zlib
 
@@ -92,44 +93,102 @@ def from_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(x) if k else None for x, k in zip(numbers, known)], lengths, unpack(table, control, data, tokens)
 
 
-@functools.cache
-def hf_memo(path: str) -> Memo:
-    """Memo over a file of the tokenizers library; strings of special tokens in a text are ordinary text.  A worker
-    process keeps it from task to task."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    begins = np.array([(tok.id_to_token(i) or "").startswith("\u0120") for i in range(tok.get_vocab_size(True))])
+class Encoder:
+    """ids of texts as the library gives them.  Its added tokens (strings such as <|endoftext|>, which become one id
+    wherever they stand) cut a text into pieces; the pieces are encoded by a memo of their words."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        tok = self.tok
+        added = tok.get_added_tokens_decoder()
+        #: Added tokens that take blanks or parts of words with them, or look at changed text, are left to the library.
+        self.simple = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.id_of = {t.content: i for i, t in added.items() if t.content}
+        longest_first = sorted(self.id_of, key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.id_of else None
+        batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        begins = np.array([(tok.id_to_token(i) or "").startswith("\u0120") for i in range(tok.get_vocab_size(True))])
+
+        def many(units):
+            return [e.ids for i in range(0, len(units), 4096) for e in batch(units[i : i + 4096], add_special_tokens=False)]
+
+        def spaced(words):
+            """Many words in one call: of a word's tokens the first one begins with the space, and no other does."""
+            joined = [" " + " ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+            got = (e.ids for i in range(0, len(joined), 64) for e in batch(joined[i : i + 64], add_special_tokens=False))
+            ids = np.concatenate([np.array(x, np.int32) for x in got])
+            return ids, np.diff(np.append(np.flatnonzero(begins[ids]), len(ids)))
+
+        self.memo = Memo(many, spaced)
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and how many each text has (with the end id)."""
+        if self.added is None:
+            return self.memo.encode(texts, end_id)
+        odd = [i for i, t in enumerate(texts) if self.added.search(t)]
+        if not odd:
+            return self.memo.encode(texts, end_id)
+        pieces, last, between = [], [], []  # pieces of all texts, where each text ends, and the id after each piece
+        marked = set(odd)
+        for i, text in enumerate(texts):
+            if i not in marked:
+                pieces.append(text)
+                between.append(-1)
+            elif self.simple:
+                parts = self.added.split(text)
+                pieces += parts[::2]
+                between += [self.id_of[x] for x in parts[1::2]] + [-1]
+            else:
+                pieces.append("")
+                between.append(-1)
+            last.append(len(pieces))
+        ids, lengths = self.memo.encode(pieces)
+        after = np.array(between)
+        ends = np.cumsum(lengths)
+        where = np.flatnonzero(after >= 0)
+        ids = np.insert(ids, ends[where], after[where])
+        per_piece = np.concatenate([[0], np.cumsum(lengths + (after >= 0))])
+        lengths = np.diff(np.concatenate([[0], per_piece[np.array(last)]]))
+        if not self.simple:
+            edges = np.concatenate([[0], np.cumsum(lengths)])
+            own = [ids[a:b] for a, b in zip(edges[:-1], edges[1:])]
+            for i in odd:
+                own[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.int32)
+            ids, lengths = np.concatenate(own), np.array([len(x) for x in own])
+        if end_id is not None:
+            ids = np.insert(ids, np.cumsum(lengths), end_id)
+            lengths = lengths + 1
+        return ids, lengths
 
-    def many(units):
-        return [e.ids for i in range(0, len(units), 4096) for e in batch(units[i : i + 4096], add_special_tokens=False)]
 
-    def spaced(words):
-        """Many words in one call: of a word's tokens the first one begins with the space, and no other does."""
-        joined = [" " + " ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for i in range(0, len(joined), 64) for e in batch(joined[i : i + 64], add_special_tokens=False)])
-        return ids, np.diff(np.append(np.flatnonzero(begins[ids]), len(ids)))
-
-    return Memo(many, spaced)
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """A worker process keeps it from task to task."""
+    return Encoder(path)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 4_000_000, batch_bytes: int = 2 * words.SLICE) -> DataFrame:
+def write_tokens(
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    file_tokens: int = 4_000_000, batch_bytes: int = 2 * words.SLICE,
+) -> DataFrame:
     """Write the files under `folder` and return the manifest: part, number, path, docs, tokens."""
 
     def write(batches):
         from pyspark import TaskContext
 
-        part, memo, number = TaskContext.get().partitionId(), hf_memo(tokenizer), 0
+        part, memo, number = TaskContext.get().partitionId(), encoder(tokenizer), 0
         held_docs, held_lengths, held_ids, held = [], [], [], 0
 
         def flush():
             nonlocal number, held_docs, held_lengths, held_ids, held
             path = f"{folder}/tokens-{part:06d}-{number:06d}-{uuid.uuid4().hex}.lsvb"
             shared.put_file(path, to_file(held_docs, np.concatenate(held_lengths), np.concatenate(held_ids)))
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "path": [path], "docs": pa.array([len(held_docs)], pa.int64()), "tokens": pa.array([held], pa.int64())})
+            values = [part], [number], [path], [len(held_docs)], [held]
+            kinds = pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()
+            row = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["part", "number", "path", "docs", "tokens"])
             number, held_docs, held_lengths, held_ids, held = number + 1, [], [], [], 0
             return row
 
@@ -145,8 +204,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         if held_docs:
             yield flush()
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    # rows that share id and text are the same to the files, and a number of their own spreads them over tasks
+    text = shared.text_of(text_col)
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), shared.row_hash(text_col).alias("h"))
+    order = "doc_id", "h", "text", "n"
+    keyed = keyed.withColumn("n", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange("doc_id", "h", "n").sortWithinPartitions(*order).select("doc_id", "text")
     manifest = ordered.mapInArrow(write, "part int, number int, path string, docs long, tokens long")
     manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
