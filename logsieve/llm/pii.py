@@ -2,7 +2,7 @@
 
 The base patterns run on the text itself.  The method then runs a transducer over texts that hold a disguise: homoglyphs
 become ASCII, runs of spelled digits become digits, and "at" / "dot" in disguise become "@" / "."; every output character
-carries the source span it came from.  The same patterns run on the transducer's output, and what they find is mapped
+carries the source span it came from.  Each step is one pass over the text.  The same patterns run on the transducer's output, and what they find is mapped
 back to source characters.  A found span is added if it covers a disguise and overlaps no base span of its kind.
 
 Base: leftmost non-overlapping per kind; a match that fails its check is dropped, without retries.
@@ -124,20 +124,16 @@ SPELLED_RUN = 3
 _GLYPH = re.compile("[" + "".join(re.escape(c) for c in LOOKALIKES) + "]")
 _ONE = "(?:" + "|".join(SPELLED) + ")"
 _SPELLED = re.compile(rf"(?<![^\W_]){_ONE}(?:[\s,.-]{{1,3}}{_ONE}){{{SPELLED_RUN - 1},}}(?![^\W_])", re.I)
-_NAME = r"[A-Za-z0-9._%+-]"
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
-_BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
-#: An address whose "at" or a "dot" is in disguise.
-_ADDRESS = re.compile(
-    rf"(?<!{_NAME}){_NAME}+(?:{_DOT}{_NAME}+)*(?:@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+",
-    re.I,
-)
-#: Where a bare word can make an address: a dot, and an "at" before a dotted name.
+#: Bare words that may be a disguise: only texts with one of these, a bracketed one or a look-alike go to the scanner.
 _BARE_DOT = re.compile(r"\sdot\s", re.I)
 _BARE_AT = re.compile(r"\sat\s+[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.I)
-_DISGUISED = re.compile(rf"({_AT})|({_DOT})", re.I)
-_BRACKETED_DOT_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}", re.I)
+_BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
+#: Tokens of the address scanner: a run of characters of a name, a run of blanks, or one other character.
+_TOKEN = re.compile(r"[A-Za-z0-9._%+-]+|\s+|[^A-Za-z0-9._%+\s-]")
+_LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+_QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
+_OPEN, _CLOSE = "[({<", "])}>"
+_SAID = {"at": "@", "@": "@", "dot": ".", ".": "."}
 
 
 class _Tape:
@@ -182,22 +178,98 @@ def _spelled_edits(text: str):
     return out
 
 
+def _marks(text: str) -> list[tuple[str, int, int, bool]]:
+    """One pass over the tokens: (kind, start, end, bracketed) with the kinds n (a name), @ and . (a disguise, with the
+    blanks around it), = (a real @) and x (anything else)."""
+    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    out, k, n = [], 0, len(tokens)
+    blank = lambda i: i < n and text[tokens[i][0]].isspace()
+    while k < n:
+        start, end = tokens[k]
+        i = k + blank(k)
+        # [ at ], with or without blanks around and inside
+        if i < n and text[tokens[i][0]] in _OPEN:
+            w = i + 1 + blank(i + 1)
+            said = _SAID.get(text[slice(*tokens[w])].lower()) if w < n else None
+            c = w + 1 + blank(w + 1)
+            if said and c < n and text[tokens[c][0]] in _CLOSE:
+                c += blank(c + 1)
+                out.append((said, start, tokens[c][1], True))
+                k = c + 1
+                continue
+        # blank at blank
+        if i > k and blank(i + 1) and i < n:
+            said = text[slice(*tokens[i])].lower()
+            if said in ("at", "dot"):
+                out.append((_SAID[said], start, tokens[i + 1][1], False))
+                k = i + 2
+                continue
+        first = text[start]
+        kind = "=" if first == "@" else "x" if end - start == 1 and not (first.isalnum() and first.isascii() or first in "._%+-") or first.isspace() else "n"
+        out.append((kind, start, end, False))
+        k += 1
+    return out
+
+
 def _address_edits(text: str):
-    out = []
-    for m in _ADDRESS.finditer(text):
-        inside = list(_DISGUISED.finditer(m[0]))
-        bracket = any(_BRACKET.search(x[0]) for x in inside)
-        plain_at = any(x[1] and not _BRACKET.search(x[0]) for x in inside)
-        plain_dots = sum(1 for x in inside if x[2] and not _BRACKET.search(x[0]))
+    """What stands for "@" and "." in addresses and numbers in disguise.  Every mark is looked at from the "at" on its left
+    and from the one on its right, and once in a chain of dots, so time grows with the text."""
+    marks, out = _marks(text), []
+    kind = [m[0] for m in marks]
+    free = 0  # marks before this one belong to an address
+    for at in [i for i, k in enumerate(kind) if k in "@="]:
+        if at < free + 1 or kind[at - 1] != "n":
+            continue
+        first = at - 1
+        while first - 2 >= free and kind[first - 1] == "." and kind[first - 2] == "n":
+            first -= 2
+        # domain: labels with real dots, and disguised dots between them
+        last, labels, ending = at, 0, ""
+        while last + 1 < len(marks) and kind[last + 1] == "n" and (last == at or kind[last] == "."):
+            _, a, b, _ = marks[last + 1]
+            m = _LABELS.match(text, a, b)
+            if not m:
+                break
+            parts = m[0].split(".")
+            labels, ending, last = labels + len(parts), parts[-1], last + 1
+            if m.end() < b or last + 1 >= len(marks) or kind[last + 1] != ".":
+                break
+            last += 1
+        if kind[last] == "." and last != at:
+            last -= 1
+        if labels < 2:
+            continue
+        inside = [m for m in marks[first : last + 1] if m[0] in "@."]
+        bracket, plain = any(m[3] for m in inside), any(not m[3] for m in inside)
         # bare words are taken before a top-level domain: "name at host dot com", "name at host.com"; one in brackets is enough
-        ending = re.split(r"[\s.]+", m[0])[-1].lower() in ENDINGS
-        if bracket or ending and (plain_at or plain_dots and "@" in m[0]):
-            for x in inside:
-                if _BRACKET.search(x[0]) or plain_dots or plain_at:
-                    out.append((m.start() + x.start(), m.start() + x.end(), "@" if x[1] else "."))
-    for m in _BRACKETED_DOT_IP.finditer(text):
-        if not any(a < m.end() and b > m.start() for a, b, _ in out):
-            out += [(m.start() + x.start(), m.start() + x.end(), ".") for x in _DISGUISED.finditer(m[0]) if x[2]]
+        if bracket or plain and ending.lower() in ENDINGS:
+            out += [(a, b, k) for k, a, b, _ in inside]
+            free = last + 1
+    taken = {a for a, _, _ in out}
+    # chains of names and disguised dots that spell four numbers
+    k = 0
+    while k < len(marks):
+        if kind[k] == "n" and k + 1 < len(marks) and kind[k + 1] == "." and marks[k + 1][1] not in taken:
+            pieces, dots, size = [], [], 0
+            while True:
+                _, a, b, _ = marks[k]
+                pieces.append(text[a:b])
+                size += b - a
+                if k + 2 < len(marks) and kind[k + 1] == "." and kind[k + 2] == "n" and marks[k + 1][1] not in taken:
+                    pieces.append(".")
+                    dots.append((size, marks[k + 1]))
+                    size += 1
+                    k += 2
+                else:
+                    break
+            spans = [m.span() for m in _QUAD.finditer("".join(pieces))]
+            at = 0
+            for place, (_, a, b, _) in dots:
+                while at < len(spans) and spans[at][1] <= place:
+                    at += 1
+                if at < len(spans) and spans[at][0] <= place:
+                    out.append((a, b, "."))
+        k += 1
     return sorted(out)
 
 
@@ -206,7 +278,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and _has_glyph(text):
         return True
     low = text.lower()
-    if "dot" in low and _BARE_DOT.search(text) or "at" in low and _BARE_AT.search(text):
+    if "dot" in low and _BARE_DOT.search(low) or "at" in low and _BARE_AT.search(low):
         return True
     if ("(" in text or "[" in text or "{" in text or "<" in text) and _BRACKET.search(text):
         return True
