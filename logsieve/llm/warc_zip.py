@@ -36,6 +36,7 @@ from . import shared
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 PACKAGE_BYTES = 32 << 20
+MOST_TASKS = 50_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -169,9 +170,8 @@ def read_records(f, size: int, wanted=None):
 
 def revisits(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataFrame:
     """seq, refers_to of the rows to be written as revisits.  Only digests and ids are read from here on."""
-    digests = pages.select(
-        F.col(id_col).alias("id"), "__ls_seq", F.unhex(F.sha1(shared.text_of(payload_col).cast("binary"))).alias("sha"), F.octet_length(shared.text_of(payload_col)).alias("size")
-    )
+    text = shared.text_of(payload_col)
+    digests = pages.select(F.col(id_col).alias("id"), "__ls_seq", F.unhex(F.sha1(text.cast("binary"))).alias("sha"), F.octet_length(text).alias("size"))
     digests = shared.keep(digests.filter(F.col("size") >= least).select("id", "__ls_seq", "sha"), "payload-digests")
     groups = digests.groupBy("sha").agg(F.count("*").alias("n"), F.max(F.struct("id", "__ls_seq")).alias("first")).filter("n > 1")
     groups = shared.keep(groups, "payload-groups")
@@ -179,7 +179,9 @@ def revisits(pages: DataFrame, id_col: str, payload_col: str, least: int) -> Dat
     return out.filter(F.col("__ls_seq") != F.col("first.__ls_seq")).select("__ls_seq", F.col("first.id").alias("refers_to"))
 
 
-def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str | None = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
+def write_packages(
+    pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str | None = "url", payload_col: str = "html", least: int = 1000
+) -> DataFrame:
     """Write a record per row into packages under `folder`; returns the manifest: path, records."""
     spark = pages.sparkSession
     base = pages.select(
@@ -207,7 +209,8 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             for i in range(batch.num_rows):
                 number, url, payload, revisit, refers = (c[i].as_py() for c in batch.columns)
                 raw = (payload or "").encode()
-                held.append(record("revisit" if revisit else "response", number, url or "", hashlib.sha1(raw).hexdigest(), len(raw), None if revisit else raw, "-" if refers is None else refers))
+                kind, sent = ("revisit", None) if revisit else ("response", raw)
+                held.append(record(kind, number, url or "", hashlib.sha1(raw).hexdigest(), len(raw), sent, "-" if refers is None else refers))
                 size += len(held[-1])
                 if size >= PACKAGE_BYTES:
                     yield flush()
@@ -223,8 +226,10 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 def read_packages(manifest: DataFrame, with_payload: bool = False, records_a_task: int = 2000) -> DataFrame:
     """One row per record of the packages: page_id, payload_bytes, payload_digest, record_type, refers_to, and on
     demand payload (null for revisits).  Digest and length of responses are taken from the payload that was read."""
-    parts = manifest.select("path", F.explode(F.sequence(F.lit(0), F.floor((F.col("records") - 1) / records_a_task).cast("int"))).alias("part"))
-    parts = parts.repartition("path", "part")
+    last = F.floor((F.col("records") - 1) / records_a_task).cast("int")
+    # a number of tasks of its own: the few manifest rows say nothing about the bytes behind them
+    n = manifest.agg(F.sum(last + 1)).first()[0] or 1
+    parts = manifest.select("path", F.explode(F.sequence(F.lit(0), last)).alias("part")).repartition(min(n, MOST_TASKS), "path", "part")
 
     def read(batches):
         for batch in batches:
@@ -242,9 +247,12 @@ def read_packages(manifest: DataFrame, with_payload: bool = False, records_a_tas
                         if kind == "response" and (hashlib.sha1(payload).hexdigest() != declared or len(payload) != length):
                             raise ValueError(f"{path}: damaged record {fields['warc-record-id']}")
                         refers = _number(fields["warc-refers-to"]) if kind == "revisit" else None
-                        rows.append((_number(fields["warc-record-id"]), length, declared, kind, refers, payload.decode() if kind == "response" else None))
-                        held += len(payload)
-                        if held > 8 << 20 and with_payload:
+                        row = (_number(fields["warc-record-id"]), length, declared, kind, refers)
+                        if with_payload:
+                            row += (payload.decode() if kind == "response" else None,)
+                            held += len(payload)
+                        rows.append(row)
+                        if held > 8 << 20:
                             yield out(rows)
                             rows, held = [], 0
                 if rows:
@@ -255,7 +263,8 @@ def read_packages(manifest: DataFrame, with_payload: bool = False, records_a_tas
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 5 + with_payload]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)), kinds)], names)
 
-    return parts.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload string" * with_payload)
+    kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return parts.mapInArrow(read, kinds + ", payload string" * with_payload)
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
