@@ -1,33 +1,40 @@
 """Quality classifier by co-training.
 
-Two logistic classifiers see two views of a document: its text, and its page metadata.  Both start from the labelled
-documents; in each round each classifier labels the unlabelled documents that it is most sure of, and these go to the
-training set of the other.  At the end both are calibrated on labelled documents set aside, and the calibrated
-log-odds are combined, with weights fitted on the same documents, to score all documents.
+Two linear classifiers see two views of a document: its text, and its page metadata.  Both start from the labelled
+documents.  In each round each classifier scores all other documents, and those that it is sure of (calibrated probability at
+least `sure`, or at most 1 - sure) become pseudo-labels of the other.  The classifiers are fitted from sums and products
+of features, which add up, so all sure documents take part, wherever they are and however many; their sums weigh `share` of
+the labelled documents', class by class.  Labelled documents set aside calibrate both views after each round, and weigh
+their log-odds into one score.
 
-Fitting takes at most `train_rows` labelled documents and `pool_rows` unlabelled ones (those with the least hashes of
-their ids); their features, not their texts, go to the driver: at most (train_rows + pool_rows) rows of FEATURES floats.
-Features and scores are those of whole texts.
+Fitting takes at most `train_rows` labelled documents (those with the least hashes of their ids), whose features go to the
+driver; no other rows do.  Features are made once, of whole texts, and stored as 16-bit floats for the rounds.
 
 Defined results: a null text counts as empty and is scored like any other; null metadata have features of their own;
 without labels of both kinds every score is null and all documents are kept; labels of unknown documents and null
-labels are passed over; of several labels of a document the largest counts; repeated rows get equal scores.
+labels are passed over; of several labels of a document the largest counts; of rows that share a labelled id one is
+fitted; repeated rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import shared, words
 
-TRAIN_ROWS, POOL_ROWS = 3000, 3000
-ROUNDS, TAKEN = 4, 60
+TRAIN_ROWS = 3000
+ROUNDS = 3
+#: Probability from which on a view is sure, and weight of what it is sure of.
+SURE, SHARE = 0.95, 0.5
+PENALTY = 3.0
 _WORDS, _META = 192, 48
 _SHAPES = 16
 TEXT_FEATURES = _SHAPES + _WORDS
-FEATURES = TEXT_FEATURES + 6 + 2 * _META
+META_FEATURES = 19 + 4 * _META
+FEATURES = TEXT_FEATURES + META_FEATURES
 
 _KIND = np.full(256, 5, np.int8)  # 0 lower, 1 upper, 2 digit, 3 blank, 4 above ASCII, 5 mark
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[9, 10, 13, 32]], _KIND[128:] = 0, 1, 2, 3, 4
@@ -74,19 +81,33 @@ def text_features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def meta_features(lang: list, source: list, n_chars: list, url_chars: np.ndarray | None = None) -> np.ndarray:
-    """(n, 6 + 2 * _META): declared length, and hashed declared language and source."""
-    n = len(lang)
-    out = np.zeros((n, 6 + 2 * _META), np.float32)
-    size = np.array([np.nan if x is None else float(x) for x in n_chars])
-    out[:, 0] = np.isnan(size)
+def meta_features(meta: dict[str, pa.Array]) -> np.ndarray:
+    """(n, META_FEATURES) of lang, source, n_chars, url and html: declared length, hashed language, source, host and suffix of
+    the address, shape of the address, and kinds of markup.  What is null or not there has a feature of its own."""
+    n = len(meta["lang"])
+    out = np.zeros((n, META_FEATURES), np.float32)
+    size = pc.fill_null(meta["n_chars"].cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
     log = np.log1p(np.maximum(np.nan_to_num(size), 0)) / 12
-    out[:, 1], out[:, 2], out[:, 3] = log, log**2, np.nan_to_num(size) < 200
-    out[:, 4], out[:, 5] = [x is None for x in lang], [x is None for x in source]
-    for k, column in enumerate((lang, source)):
-        data, offs = words.as_bytes(pa.array([x or "" for x in column], pa.string()))
+    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = np.isnan(size), log, log**2, np.nan_to_num(size) < 200
+    url, html = pc.fill_null(meta["url"], ""), pc.fill_null(meta["html"], "")
+    bare = pc.replace_substring_regex(url, "[?#].*$", "")
+    host = pc.utf8_lower(pc.replace_substring_regex(bare, "^[A-Za-z0-9+.-]*://([^/]*).*$", "\\1"))
+    suffix = pc.replace_substring_regex(host, "^.*[.]", "")
+    long = np.maximum(pc.binary_length(url).to_numpy(zero_copy_only=False), 1)
+    out[:, 4] = np.log1p(long) / 8
+    out[:, 5] = pc.count_substring(bare, "/").to_numpy(zero_copy_only=False) / 8
+    out[:, 6] = pc.count_substring_regex(url, "[0-9]").to_numpy(zero_copy_only=False) / long
+    out[:, 7] = pc.match_substring(url, "?").to_numpy(zero_copy_only=False)
+    marks = np.maximum(pc.binary_length(html).to_numpy(zero_copy_only=False), 1)
+    out[:, 8] = np.log1p(marks) / 16
+    for k, tag in enumerate(("<a ", "<script", "<p", "<li", "<div", "<img")):
+        out[:, 9 + k] = 50 * pc.count_substring(html, tag, ignore_case=True).to_numpy(zero_copy_only=False) / marks
+    for k, column in enumerate((meta["lang"], meta["source"], host, suffix)):
+        given = pc.fill_null(column, "")
+        out[:, 15 + k] = pc.equal(given, "").to_numpy(zero_copy_only=False)
+        data, offs = words.as_bytes(given)
         h = words.span_hashes(data, offs[:-1], offs[1:]) if len(data) else np.zeros(n, np.uint64)
-        out[np.arange(n), 6 + k * _META + (h % np.uint64(_META)).astype(np.int64)] = 1
+        out[np.arange(n), 19 + k * _META + (h % np.uint64(_META)).astype(np.int64)] = 1
     return out
 
 
@@ -119,109 +140,179 @@ class Logistic:
         return np.clip((x - self.mean) / self.scale, -20, 20) @ self.b[:-1] + self.b[-1]
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, taken: int = TAKEN):
-    """(text classifier, metadata classifier, calibration and combination of their margins)."""
-    held = np.arange(len(y)) % 4 == 3
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    views, pools = (text, meta), (pool_text, pool_meta)
-    train = [([v[~held]], [y[~held]], [np.ones((~held).sum())]) for v in views]
-    free = np.ones(len(pool_text), bool)
-    models = [Logistic(3.0).fit(v[~held], y[~held]) for v in views]
-    base = float(y.mean())
-    for _ in range(rounds):
-        gifts = []
-        for k in (0, 1):
-            where = np.flatnonzero(free)
-            if not len(where):
-                break
-            p = 1 / (1 + np.exp(-models[k].margin(pools[k][where])))
-            order = np.argsort(p, kind="stable")
-            low, high = max(1, round(taken * (1 - base))), max(1, round(taken * base))
-            low, high = order[:low][p[order[:low]] < 0.1], order[::-1][:high][p[order[::-1][:high]] > 0.9]
-            gifts.append((1 - k, np.concatenate([where[low], where[high]]), np.concatenate([np.zeros(len(low)), np.ones(len(high))])))
-        for k, rows, labels in gifts:
-            train[k][0].append(pools[k][rows])
-            train[k][1].append(labels)
-            train[k][2].append(np.full(len(rows), 0.3))
-            free[rows] = False
-        models = [Logistic(3.0).fit(*(np.concatenate(c) for c in t)) for t in train]
-    fit_on = held if held.any() else np.ones(len(y), bool)
-    calibrated = []
-    for k in (0, 1):
-        calibrated.append(Logistic(0.1).fit(models[k].margin(views[k][fit_on])[:, None], y[fit_on]))
-    odds = np.stack([calibrated[k].margin(models[k].margin(views[k][fit_on])[:, None]) for k in (0, 1)], axis=1)
-    return models[0], models[1], calibrated, Logistic(1.0).fit(odds, y[fit_on])
+class Moments:
+    """Weighted sums over rows x of a view, for each of two classes: number, sum and product matrix.  They add up, so rows
+    of any number can be summed where they are."""
+
+    def __init__(self, width: int):
+        self.n, self.s, self.m = np.zeros(2), np.zeros((2, width)), np.zeros((2, width, width))
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> Moments:
+        for c in (0, 1):
+            own = x[y == c].astype(np.float64)
+            self.n[c] += len(own)
+            self.s[c] += own.sum(axis=0)
+            self.m[c] += own.T @ own
+        return self
+
+
+class LeastSquares:
+    """Linear classifier with an L2 penalty, from the moments of labelled rows and those of pseudo-labelled rows.  The
+    latter count as `share` of the labelled ones, class by class, however many they are."""
+
+    def __init__(self, known: Moments, guessed: Moments | None, share: float, penalty: float):
+        n, s, m = known.n.copy(), known.s.copy(), known.m.copy()
+        for c in (0, 1):
+            if guessed is not None and guessed.n[c]:
+                w = share * known.n[c] / guessed.n[c]
+                n[c], s[c], m[c] = n[c] + w * guessed.n[c], s[c] + w * guessed.s[c], m[c] + w * guessed.m[c]
+        total = n.sum()
+        self.mean = s.sum(axis=0) / total
+        cov = m.sum(axis=0) / total - np.outer(self.mean, self.mean)
+        self.scale = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-3
+        cov = cov / np.outer(self.scale, self.scale) + penalty / known.n.sum() * np.eye(len(cov))
+        gap = (s[1] / max(n[1], 1e-9) - s[0] / max(n[0], 1e-9)) / self.scale
+        self.b = np.linalg.solve(cov, gap)
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.b
+
+
+class Model:
+    """Both views, their calibration on the labelled rows set aside, and the combination of their log-odds."""
+
+    def __init__(self, views: list, held: list[np.ndarray], y: np.ndarray):
+        self.views = views
+        self.calibrated = [Logistic(0.1).fit(v.margin(x)[:, None], y) for v, x in zip(views, held)]
+        self.both = Logistic(1.0).fit(self.odds(held), y)
+
+    def odds(self, x: list[np.ndarray]) -> np.ndarray:
+        return np.stack([c.margin(v.margin(own)[:, None]) for v, c, own in zip(self.views, self.calibrated, x)], axis=1)
+
+    def scores(self, x: list[np.ndarray]):
+        """(text probability, metadata probability, combined probability)."""
+        odds = self.odds(x)
+        return _sigmoid(odds[:, 0]), _sigmoid(odds[:, 1]), _sigmoid(self.both.margin(odds))
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def score_arrays(model, text: np.ndarray, meta: np.ndarray):
-    """(text probability, metadata probability, combined probability)."""
-    a, b, calibrated, both = model
-    odds = np.stack([calibrated[0].margin(a.margin(text)[:, None]), calibrated[1].margin(b.margin(meta)[:, None])], axis=1)
-    return _sigmoid(odds[:, 0]), _sigmoid(odds[:, 1]), _sigmoid(both.margin(odds))
+def _split(x: np.ndarray) -> list[np.ndarray]:
+    return [x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:]]
 
 
-def _views(rows: DataFrame) -> DataFrame:
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    return _split(np.frombuffer(b"".join(column.to_pylist()), "<f2").reshape(len(column), FEATURES).astype(np.float32))
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """doc_id and x, the features of both views as 16-bit floats."""
+    names = ("lang", "source", "n_chars", "url", "html")
+
     def make(batches):
         for batch in batches:
             for first, texts in words.parts(batch.column(1)):
                 m = len(texts)
-                lang, source, size = (batch.column(c).slice(first, m).to_pylist() for c in (2, 3, 4))
-                x = np.hstack([text_features(texts), meta_features(lang, source, size)]).astype("<f4")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(5).slice(first, m)], ["doc_id", "x", "y"])
-
-    return rows.mapInArrow(make, "doc_id long, x binary, y int")
-
-
-def _sample(rows: DataFrame, n: int) -> DataFrame:
-    ids = shared.keep(rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n), "sample-ids")
-    return ids
-
-
-def fit(rows: DataFrame, labels: DataFrame, train_rows: int, pool_rows: int):
-    """The model, or None without labels of both kinds."""
-    ids = rows.select("doc_id").distinct()
-    known = _sample(labels.join(ids, "doc_id", "left_semi"), train_rows)
-    pool = _sample(ids.join(labels.select("doc_id"), "doc_id", "left_anti"), pool_rows)
-    marked = known.join(labels, "doc_id").select("doc_id", "y").unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("y")))
-    marked = shared.keep(marked, "sample")  # at most train_rows + pool_rows rows
-    chosen = rows.join(F.broadcast(marked), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "y")
-    got = sorted(((r.doc_id, r.y, bytes(r.x)) for r in _views(chosen).dropDuplicates(["doc_id"]).toLocalIterator()), key=lambda r: r[0])
-    x = np.frombuffer(b"".join(r[2] for r in got), "<f4").reshape(len(got), FEATURES)
-    y = np.array([-1 if r[1] is None else r[1] for r in got])
-    if len(set(y[y >= 0])) < 2:
+                meta = {c: batch.column(batch.schema.get_field_index(c)).slice(first, m) for c in names}
+                x = np.hstack([text_features(texts), meta_features(meta)]).astype("<f2")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+
+    return rows.select("doc_id", "text", *names).mapInArrow(make, "doc_id long, x binary")
+
+
+def exchanged(pool: DataFrame, model: Model, sure: float) -> list[Moments]:
+    """For each view the moments of all rows of pool (doc_id, x) that the other view is sure of, as it labels them.  Tasks
+    send matrix rows, which are added up by a grouped aggregation: the driver gets one matrix a view and class."""
+    sent = pool.sparkSession.sparkContext.broadcast(model)
+    widths = (TEXT_FEATURES, FEATURES - TEXT_FEATURES)
+
+    def collect(batches):
+        model, sums = sent.value, [Moments(w) for w in widths]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _unpacked(batch.column("x"))
+            for k, p in enumerate(model.scores(x)[:2]):
+                rows = np.flatnonzero((p >= sure) | (p <= 1 - sure))
+                sums[1 - k].add(x[1 - k][rows], p[rows] > 0.5)
+        for view, own in enumerate(sums):
+            for c in (0, 1):
+                if own.n[c]:
+                    whole = np.vstack([np.hstack([own.n[c : c + 1], own.s[c]]), np.hstack([np.zeros((len(own.s[c]), 1)), own.m[c]])])
+                    columns = [[view] * len(whole), [c] * len(whole), range(len(whole))]
+                    lines = pa.array([line.tobytes() for line in whole], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in columns), lines], ["view", "c", "line", "sums"])
+
+    def add(key, pdf):
+        import pandas as pd
+
+        total = sum(np.frombuffer(x, np.float64) for x in pdf["sums"])
+        return pd.DataFrame({"view": [key[0]], "c": [key[1]], "line": [key[2]], "sums": [total.tobytes()]})
+
+    kinds = "view int, c int, line int, sums binary"
+    found = pool.mapInArrow(collect, kinds).groupBy("view", "c", "line").applyInPandas(add, kinds)
+    out = [Moments(w) for w in widths]
+    for r in found.toLocalIterator():  # 2 views, 2 classes, a line for each feature
+        line = np.frombuffer(r.sums, np.float64)
+        if r.line == 0:
+            out[r.view].n[r.c], out[r.view].s[r.c] = line[0], line[1:]
+        else:
+            out[r.view].m[r.c][r.line - 1] = line[1:]
+    return out
+
+
+def fit(every: DataFrame, labels: DataFrame, train_rows: int, rounds: int, sure: float, share: float) -> Model | None:
+    """The model from every (doc_id, x), or None without labels of both kinds."""
+    ids = every.select("doc_id").distinct()
+    known = labels.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    known = shared.keep(known, "labelled-sample")  # at most train_rows rows
+    chosen = every.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x"))
+    got = sorted(chosen.toLocalIterator(), key=lambda r: r.doc_id)
+    y = np.array([r.y for r in got])
+    if len(set(y.tolist())) < 2:
         return None
-    text, meta = x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:]
-    return co_train(text[y >= 0], meta[y >= 0], y[y >= 0].astype(float), text[y < 0], meta[y < 0])
+    x = _unpacked(pa.array([bytes(r.x) for r in got], pa.binary()))
+    # a quarter of each kind is set aside, if there are enough
+    place = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
+    held = place % 4 == 0
+    if len(set(y[held].tolist())) < 2:
+        held = np.zeros(len(y), bool)
+    aside = held if held.any() else np.ones(len(y), bool)
+    start = [Moments(v.shape[1]).add(v[~held], y[~held]) for v in x]
+    aside_x = [v[aside] for v in x]
+    model = Model([LeastSquares(m, None, share, PENALTY) for m in start], aside_x, y[aside])
+    pool = every.join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")
+    for _ in range(rounds):
+        guessed = exchanged(pool, model, sure)
+        model = Model([LeastSquares(m, g, share, PENALTY) for m, g in zip(start, guessed)], aside_x, y[aside])
+    return model
 
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5,
-    train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS,
+    train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, sure: float = SURE, share: float = SHARE,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, text_score, meta_score, score, kept (score at least `least`)."""
+    """One row per row of docs: doc_id, text_score, meta_score, score, kept (score at least `least`).  Columns lang, source,
+    n_chars, url and html of docs are metadata, those that it has."""
     have = {c.lower() for c in docs.columns}
     pick = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), pick("lang", "string"), pick("source", "string"), pick("n_chars", "long"))
+    meta = [pick(c, "string") for c in ("lang", "source", "url", "html")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), pick("n_chars", "double"), *meta)
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     marks = marks.groupBy("doc_id").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
-    model = fit(rows, marks, train_rows, pool_rows)
+    every = shared.keep(features(rows), "features")
+    model = fit(every, marks, train_rows, rounds, sure, share)
     if model is None:
-        return rows.select("doc_id", *[F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")], F.lit(True).alias("kept"))
+        return every.select("doc_id", *[F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")], F.lit(True).alias("kept"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few FEATURES numbers
 
     def score(batches):
         for batch in batches:
-            for first, texts in words.parts(batch.column(1)):
-                m = len(texts)
-                lang, source, size = (batch.column(c).slice(first, m).to_pylist() for c in (2, 3, 4))
-                a, b, both = score_arrays(sent.value, text_features(texts), meta_features(lang, source, size))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, m), *(pa.array(np.round(x, 6)) for x in (a, b, both)), pa.array(both >= least)], ["doc_id", "text_score", "meta_score", "score", "kept"]
-                )
+            if batch.num_rows:
+                *views, both = sent.value.scores(_unpacked(batch.column("x")))
+                found = [pa.array(np.round(x.astype(np.float64), 6)) for x in (*views, both)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found, pa.array(both >= least)], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
-    return rows.mapInArrow(score, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return every.mapInArrow(score, "doc_id long, text_score double, meta_score double, score double, kept boolean")
