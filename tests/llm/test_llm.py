@@ -57,6 +57,18 @@ def test_warc_cases(spark):
     assert warc_zip.warc_round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_large_payloads(spark):
+    """Payloads of several MB, very long urls and clashing extra columns; as many tasks as parts."""
+    big = "".join(chr(97 + i * 7 % 26) for i in range(3_000_000))
+    rows = [(1, "u" * 100_000, big, 7, "x"), (2, "u", big + "é", 7, "x"), (3, "v", big, 7, None)] + [(10 + i, "w", "s", 7, "x") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, id long, sha string").repartition(2)
+    manifest = warc_zip.write_packages(pages, warc_zip.shared.scratch(spark, "w"))
+    read = warc_zip.read_packages(manifest, records_a_task=2)
+    assert read.rdd.getNumPartitions() == sum(-(-r.records // 2) for r in manifest.collect())
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in read.collect()}
+    assert got == {1: (3_000_000, "revisit", 3), 2: (3_000_002, "response", None), 3: (3_000_000, "response", None)} | {10 + i: (1, "response", None) for i in range(9)}
+
+
 def test_zip64_and_ranges():
     records = [warc_zip.record("response", i, "u", "00" * 20, 3, b"abc") for i in range(5)]
     for wide in (False, True):
@@ -124,6 +136,62 @@ def test_pii_rows(spark):
     assert pii.masked("x a@b.co", [[(2, 8)], [], [], []]) == "x [EMAIL]"
 
 
+def disguise(rnd, kind):
+    """(text of an identifier in disguise, the same in plain)."""
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 6)))
+    glyph = str.maketrans("aeocx1", "аеосх１")
+    if kind == "email":
+        at = rnd.choice([" [at] ", "(at)", " { AT } ", "<@>", " at ", "\tat\n"])
+        dots = [rnd.choice([" dot ", "[.]", " (dot) ", "."] if at.strip(" \t\n") != "at" else [" dot ", "."]) for _ in range(rnd.randint(1, 2))]
+        return word() + at + word() + "".join(d + x for d, x in zip(dots, ["uk", "com"][-len(dots) :]))
+    if kind == "ip":
+        dots = rnd.choice([["[.]"] * 3, [" dot "] * 3, ["(dot)", ".", "."], [".", ".", "{.}"]])
+        return "".join(str(rnd.randint(0, 255)) + d for d in dots) + str(rnd.randint(0, 255))
+    if kind == "phone":
+        return ("+1 (988) 555-24" + str(rnd.randint(10, 99))).translate(str.maketrans("0123456789", "０１２３４５６７８９" if rnd.random() < 0.5 else "٠١٢٣٤٥٦٧٨٩"))
+    return rnd.choice(["four one one one 1111 1111 1111", "４１１１ 1111 1111 1111", "4111 one one one one 1111 1111"])
+
+
+def test_pii_planted_disguises():
+    rnd = random.Random(4)
+    filler = ["tree", "x1", "the", "says", "Mary", "é", "漢字", "17"]
+    for _ in range(3000):
+        text, want = "", []
+        for _ in range(rnd.randint(1, 4)):
+            text += " ".join(rnd.choice(filler[:-1]) for _ in range(rnd.randint(1, 3))) + rnd.choice([", see ", "; ", " | ", ": "])
+            kind = rnd.choice(pii.KINDS)
+            found = disguise(rnd, kind)
+            want.append((pii.KINDS.index(kind), len(text), len(text) + len(found)))
+            text += found + rnd.choice(["; then ", ", ", " | ", ". "])
+        spans = pii.method_spans(text, pii.base_spans(text))
+        assert [(k, a, b) for k, own in enumerate(spans) for a, b in own] == sorted(want), text
+
+
+def test_pii_digests(spark):
+    """base_sha256 and spans of rows against the plain patterns."""
+    import hashlib
+
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice(["a@b.co", "1.2.3.4", "+1 988 555 2485", "4111 1111 1111 1111", "x", "é", "300.1.1.1", "x at y dot com", "9" * 14]) for _ in range(rnd.randint(0, 9)))) for i in range(60)]
+    text, checks = dict(rows), {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")), "card": lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and pii.luhn(d), "phone": lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15}
+    for r in pii.find_pii(docs(spark, rows)).collect():
+        base = [f"{k}:{m.start()}:{m.end()}" for k, p in zip(pii.KINDS, (pii.EMAIL, pii.IP, pii.CARD, pii.PHONE)) for m in p.finditer(text[r.doc_id]) if checks[k](m[0])]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(r.spans.split(",")) | {""}
+        more = [x for x in r.spans.split(",") if x and x not in base]
+        assert len(more) == text[r.doc_id].count("x at y dot com") and all(text[r.doc_id][slice(*map(int, x.split(":")[1:]))] == "x at y dot com" for x in more)
+        assert r.n_email + r.n_ip + r.n_card + r.n_phone == len(base)
+
+
+def test_pii_time_grows_with_the_text():
+    import time
+
+    for unit in ("x dot ", "x at ", "( ", "a (at) b dot ", "1 dot ", "+(((((", "one two ", "a@", "1.", " " * 500 + "dot"):
+        text = unit * (400_000 // len(unit))
+        begin = time.time()
+        pii.method_spans(text, pii.base_spans(text))
+        assert time.time() - begin < 2, unit
+
+
 # ---- 3 ---------------------------------------------------------------------------------------------------------
 
 
@@ -172,8 +240,8 @@ def test_token_files(spark):
 
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = [r for r in ODD if r[0] != 3] + [(20 + i, f"word{i} <|endoftext|> " * (i % 5)) for i in range(30)]
+    rows += [(60, "<|endoftext|>"), (61, "a <|endoftext|><|endoftext|>b \n"), (62, "  <|endoftext|>  x<|endof"), (63, "<|endoftext|")]
     frame = docs(spark, rows)
     manifest = token_files.write_tokens(frame, token_files.shared.scratch(spark, "t"), path, file_tokens=100, batch_bytes=200)
     got = sorted(token_files.read_tokens(manifest, with_ids=True).collect(), key=lambda r: r.start)
@@ -184,6 +252,24 @@ def test_token_files(spark):
         assert (r.start, r.n_tokens, list(r.ids), r.ids_crc32) == (start, len(ids), ids, zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert token_files.token_files(spark, frame.limit(0), path).count() == 0
+    again = [(1, "a b"), (1, "a b"), (None, None), (None, ""), (1, "c")]
+    twice = sorted(token_files.token_files(spark, docs(spark, again), path, file_tokens=2).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.n_tokens) for r in twice][:2] == [(None, 1)] * 2 and sorted(r.n_tokens for r in twice) == [1, 1, 2, 3, 3]
+
+
+@pytest.mark.parametrize("options", [{}, {"lstrip": True}, {"normalized": True, "rstrip": True}])
+def test_added_tokens(tmp_path, options):
+    from tokenizers import AddedToken, Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.add_tokens([AddedToken("<x>", **options), AddedToken("<x>y", **options)])
+    tok.save(path := str(tmp_path / "tok.json"))
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(["<x>", "y", " ", "  ", "a", "the", "\n", "<|endoftext|>", "<x"]) for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    ids, lengths = token_files.Encoder(path).encode(texts, 2)
+    ends = np.cumsum(lengths)
+    for t, e, n in zip(texts, ends, lengths):
+        assert ids[e - n : e].tolist() == tok.encode(t, add_special_tokens=False).ids + [2], t
 
 
 def test_pack_round_trip():
@@ -333,31 +419,91 @@ def test_quality(spark):
     assert len(none) == len(ODD) and all(r.kept and r.score is None for r in none)
 
 
+def quality_corpus(rnd, n):
+    """(rows, labels): good and bad documents differ in words and in host; two thirds have one view only."""
+    rows, marks = [], {}
+    for i in range(n):
+        good = rnd.random() < 0.5
+        # words of either kind: few of them stand in any one document
+        own = [f"{'good' if good else 'bad'}{rnd.randrange(60)}" for _ in range(4)]
+        text = " ".join(own + [f"w{rnd.randrange(200)}" for _ in range(30)])
+        url = f"https://{'fine' if good else 'poor'}{rnd.randrange(3)}.example.{'org' if good else 'biz'}/p/{i}"
+        rows.append((i, text, None, None, None, None if i % 3 == 0 else url, None))
+        marks[i] = int(good)
+    return rows, marks
+
+
+def test_co_training_beats_its_start(spark):
+    rows, marks = quality_corpus(random.Random(6), 3000)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, url string, html string").repartition(4)
+    labels = spark.createDataFrame([(i, marks[i]) for i in range(40)], "doc_id long, quality int")
+    right = {}
+    for rounds in (0, 3):
+        got = [r for r in cotrain.quality_scores(frame, labels, rounds=rounds, sure=0.9).collect() if r.doc_id >= 40]
+        assert len(got) == 2960
+        right[rounds] = [np.mean([(getattr(r, c) > 0.5) == marks[r.doc_id] for r in got if r.doc_id % 3 == 0 or c != "text_score"]) for c in ("text_score", "score")]
+    # documents without an address: the text view learned from what the metadata view was sure of
+    assert right[3][0] > right[0][0] + 0.1 and right[3][1] > right[0][1] and right[3][1] > 0.9
+
+
+def test_exchange_covers_all_rows(spark):
+    """Sums over tasks against one matrix product."""
+    rows, marks = quality_corpus(random.Random(3), 400)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, url string, html string").repartition(5)
+    every = cotrain.shared.keep(cotrain.features(frame), "test-features")
+    got = sorted(every.collect(), key=lambda r: r.doc_id)
+    import pyarrow as pa
+
+    x = cotrain._unpacked(pa.array([bytes(r.x) for r in got], pa.binary()))
+    y = np.array([marks[r.doc_id] for r in got])
+    model = cotrain.Model([cotrain.LeastSquares(cotrain.Moments(v.shape[1]).add(v[:60], y[:60]), None, 0.5, 3.0) for v in x], [v[60:120] for v in x], y[60:120])
+    for k, m in enumerate(cotrain.exchanged(every, model, 0.7)):
+        p = model.scores(x)[1 - k]
+        rows = (p >= 0.7) | (p <= 0.3)
+        want = cotrain.Moments(x[k].shape[1]).add(x[k][rows], p[rows] > 0.5)
+        assert rows.sum() > 20 and (m.n == want.n).all() and np.allclose(m.s, want.s) and np.allclose(m.m, want.m)
+
+
+def test_quality_rows(spark):
+    """Null metadata, repeated and null ids, odd addresses, an empty table."""
+    odd = [(1, None, None, None, None, None, None), (None, "a b", "en", "s", 3, "x", "<p>"), (2, "", "en", None, -5, "http://", ""), (2, "c", None, "s", None, "HTTPS://A.b/?q", "<A href>"), (3, "a " * 50_000, "en", "s", 1, "u" * 50_000, "<")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, url string, html string"
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    got = cotrain.quality_scores(spark.createDataFrame(odd, kinds), labels).collect()
+    assert len(got) == 5 and all(r.score is not None and 0 <= r.score <= 1 for r in got)
+    assert cotrain.quality_scores(spark.createDataFrame([], kinds), labels).count() == 0
+
+
 # ---- 5 ---------------------------------------------------------------------------------------------------------
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_url_filter(spark, most):
     at = lambda n: f"2024-01-{n:02d} 00:00:00"
     entries = spark.createDataFrame(
         [("host", "a.b.com", "add", at(5)), ("host", "a.b.com", "remove", at(10)), ("host", "a.b.com", "add", at(10)), ("domain", "b.com", "add", at(7)), ("prefix", "c.org/x", "add", at(1)), (None, None, "add", at(1)),
          ("host", "d.net", "add", at(3)), ("host", "d.net", "add", at(6)), ("host", "d.net", "remove", at(9))],
         "kind string, pattern string, action string, at string",
     ).withColumn("at", F.to_timestamp("at"))
+    options = {"broadcast_bytes": most}
     captures = [(1, "http://u:p@A.b.com:80/z?q", at(6)), (2, "http://a.b.com/", at(4)), (3, "http://a.b.com/", at(11)), (4, "http://z.b.com/", at(6)), (5, "http://c.org/x/y", at(2)), (6, "http://c.org/xy", at(2)),
                 (7, None, at(2)), (8, "bad", at(2)), (9, "http://d.net", at(7)), (9, "http://d.net", at(7)), (10, "http://d.net./", at(9)), (11, "http://b.com/", None)]
     frame = spark.createDataFrame(captures, "page_id long, url string, fetched string").withColumn("fetched", F.to_timestamp("fetched"))
-    got = sorted((r.page_id, r.kind, r.since.day if r.since else None) for r in url_filter.url_verdicts(frame, entries).collect() if r.blocked)
+    frame = frame.selectExpr("*", "'x' as kind", "'y' as pattern", "1 as hit", "2 as since", "3 as salt", "4 as key")
+    got = sorted((r.page_id, r.kind, r.since.day if r.since else None) for r in url_filter.url_verdicts(frame, entries, **options).collect() if r.blocked)
     assert got == [(1, "host", 5), (3, "domain", 7), (5, "prefix", 1), (9, "host", 3), (9, "host", 3)]
-    assert url_filter.url_verdicts(frame, entries.limit(0)).filter("blocked").count() == 0 and url_filter.url_verdicts(frame.limit(0), entries).count() == 0
+    assert url_filter.url_verdicts(frame, entries.limit(0), **options).filter("blocked").count() == 0
+    assert url_filter.url_verdicts(frame.limit(0), entries, **options).count() == 0
 
 
 def test_url_filter_levels_and_case(spark):
     at, deep = "2024-01-01 00:00:00", "/".join(f"s{i}" for i in range(40))
     entries = spark.createDataFrame([("domain", "far.com", "add", at), ("prefix", f"p.org/{deep}", "add", at), ("prefix", "Q.net/EN", "add", at)], "kind string, pattern string, action string, at string").withColumn("at", F.to_timestamp("at"))
-    captures = [(1, "http://" + "a." * 60 + "far.com/"), (2, f"http://p.org/{deep}/end"), (3, "http://q.NET/EN/x"), (4, "http://q.net/en/x"), (5, "http://p.org/" + deep[:-1] + "/end")]
+    captures = [(1, "http://" + "a." * 60 + "far.com/"), (2, f"http://p.org/{deep}/end"), (3, "http://q.NET/EN/x"), (4, "http://q.net/en/x"), (5, "http://p.org/" + deep[:-1] + "/end"), (6, "http://" + "b" * 200_000 + "." + "a." * 2000 + "far.com/" + "s/" * 3000)]
     frame = spark.createDataFrame(captures, "page_id long, url string").withColumn("fetched", F.to_timestamp(F.lit(at)))
-    got = {r.page_id: r.kind for r in url_filter.url_verdicts(frame, entries).collect() if r.blocked}
-    assert got == {1: "domain", 2: "prefix", 3: "prefix"}
+    for most in (1 << 20, 0):
+        got = {r.page_id: r.kind for r in url_filter.url_verdicts(frame, entries, broadcast_bytes=most).collect() if r.blocked}
+        assert got == {1: "domain", 2: "prefix", 3: "prefix", 6: "domain"}
 
 
 # ---- 8 ---------------------------------------------------------------------------------------------------------
