@@ -175,11 +175,11 @@ def _forest(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(cells: DataFrame, ngram: int, threshold: float) -> DataFrame:
+def _compare(cells: DataFrame, ngram: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """Rows of cells, sorted by cell and class, to (cid, links, other): links counts the members of linked classes."""
 
-    def verify(rows, kind, key, i, j):
-        ids, sizes, blocks, inner, bands, sets = zip(*rows)
+    def verify(held, kind, key, i, j):
+        ids, sizes, blocks, inner, sets = zip(*held)
         links, inner = linked(list(sets), threshold), np.array(inner)
         links &= ~(inner[:, None] & inner[None, :])
         if i != j:
@@ -187,7 +187,8 @@ def _compare(cells: DataFrame, ngram: int, threshold: float) -> DataFrame:
             links &= block[:, None] != block[None, :]
         found = np.argwhere(np.triu(links))
         if len(found):
-            band = np.array(bands)
+            at = np.cumsum([0, *map(len, sets)])
+            band = band_keys(np.concatenate(sets), at, bands, rows).view(np.int64)
             same = band[found[:, 0]] == band[found[:, 1]]
             good = same.any(axis=1)
             if kind == BUCKET:
@@ -207,14 +208,14 @@ def _compare(cells: DataFrame, ngram: int, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_pylist() for c in ("kind", "key", "i", "j", "cid", "size", "block", "inner", "bands")]
-            for *cell, cid, size, block, inner, bands, grams in zip(*columns, gram_sets(batch.column("text"), ngram)):
+            columns = [batch.column(c).to_pylist() for c in ("kind", "key", "i", "j", "cid", "size", "block", "inner")]
+            for *cell, cid, size, block, inner, grams in zip(*columns, gram_sets(batch.column("text"), ngram)):
                 if cell != at:
                     if len(held) > 1:
                         out += verify(held, *at)
                     at, held = cell, []
                 if not held or held[-1][0] != cid:  # repeated rows of the text that stands for a class count once
-                    held.append((cid, size, block, inner, bands, grams))
+                    held.append((cid, size, block, inner, grams))
                 if len(out) >= 4096:
                     yield batch_of(out)
                     out = []
@@ -307,23 +308,22 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, ngram: int, thresho
     roots = shared.join_counted(roots, sizes, "root", "m", total).withColumnRenamed("node", "cid")
 
     # texts of the candidates only; with them each cell makes the full n-gram sets
-    wanted = shared.keep(classes.drop("cls").join(roots, "cid"), "wanted")
-    few = wanted.count() <= shared.BROADCAST_IDS
-    keys = wanted.select("cid", F.col("stays.doc_id").alias("i"), F.col("stays.h").alias("g"))
-    met = docs["doc_id"].eqNullSafe(keys["i"]) & (docs["h"] == keys["g"])
-    texts = docs.join(F.broadcast(keys) if few else keys, met).select("cid", "text")
-
+    wanted = shared.keep(classes.select("cid", "stays", "size").join(roots, "cid"), "wanted")
+    keys = wanted.select("cid", "size", "root", "m", F.col("stays.doc_id").alias("i"), F.col("stays.h").alias("g"))
+    if wanted.count() <= shared.BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    texts = docs.join(keys, docs["doc_id"].eqNullSafe(keys["i"]) & (docs["h"] == keys["g"])).select("cid", "size", "root", "m", "text")
+    cell = ["kind", "key", "i", "j"]
     one = F.lit(0).cast("long")
-    small = wanted.filter(F.col("m") <= block).select("cid", F.lit(COMPONENT).alias("kind"), F.col("root").alias("key"), one.alias("i"), one.alias("j"), one.alias("block"), F.lit(False).alias("inner"))
-    cells, proven = small, None
-    if not wanted.filter(F.col("m") > block).isEmpty():
-        texts = shared.keep(texts, "candidate-texts")
-        more, proven = _large_cells(wanted, members, texts, ngram, threshold, block, total)
-        cells = small.unionByName(more)
-    cells = cells.join(wanted.select("cid", "size", "bands"), "cid")
-    full = texts.join(cells, "cid").select("kind", "key", "i", "j", "cid", "size", "block", "inner", "bands", "text")
-    full = full.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j", "cid")
-    found = _compare(full, ngram, threshold)
+    alone = [F.lit(COMPONENT).alias("kind"), F.col("root").alias("key"), one.alias("i"), one.alias("j"), one.alias("block"), F.lit(False).alias("inner")]
+    full = texts.filter(F.col("m") <= block).select("cid", "size", *alone, "text")
+    large, proven = wanted.filter(F.col("m") > block), None
+    if not large.isEmpty():
+        chosen = shared.keep(texts.filter(F.col("m") > block).select("cid", "text"), "large-texts")
+        cells, proven = _large_cells(wanted, members, chosen, ngram, threshold, block, total)
+        full = full.unionByName(cells.join(large.select("cid", "size"), "cid").join(chosen, "cid").select(full.columns))
+    full = full.repartition(*cell).sortWithinPartitions(*cell, "cid")
+    found = _compare(full, ngram, threshold, bands, rows)
     found = shared.keep(found.unionByName(proven) if proven is not None else found, "links")
 
     # links a class has, and final components
