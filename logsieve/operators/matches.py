@@ -4,38 +4,49 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..data import agents, paths as P
 from ..functions import scalars as S
 
 
-def _rows(entries: DataFrame, incidents: DataFrame, prefix: str, key: str, on: str, extra: Column | None = None) -> DataFrame:
-    chosen = incidents.filter(F.col("id").startswith(prefix)).select("id", F.col(key).alias(on))
-    rows = entries if extra is None else entries.filter(extra)
-    return rows.select("row", on).join(chosen, on).select("id", "row")
+#: Detectors by the start of their ids: those about a path, and those about an address with the rows that count.
+BY_PATH = ("abusive_crawl", "query_explosion", "post_hotspot")
+BY_ADDRESS = {
+    "http_4xx_storm": lambda: S.status_class(F.col("status")) == 4,
+    "http_5xx_storm": lambda: S.status_class(F.col("status")) == 5,
+    "http_head_flood": lambda: F.col("method") == "HEAD",
+    "scanner_signature_paths": lambda: F.col("path").isin(P.FINGERPRINT_PATHS),
+    **dict.fromkeys(("fake_bot_googlebot", "fake_bot_bingbot", "ddos_rps_burst_single_ip", "single_ip_path_explosion", "ua_rotation_same_ip"), lambda: F.lit(True)),
+}
 
 
 def incident_rows(entries: DataFrame, hits: DataFrame, incidents: DataFrame) -> DataFrame:
-    """id, row.  incidents are scored ones, with their facts."""
-    status = S.status_class(F.col("status"))
-    rules = incidents.join(hits.select("rule").distinct().withColumnRenamed("rule", "_subject"), "_subject", "left_semi")
-    out = [
-        hits.select("row", "ip", F.col("rule").alias("_subject")).join(rules.select("id", "_subject", F.col("_ip").alias("ip")), ["ip", "_subject"]).select("id", "row"),
-        *[_rows(entries, incidents, p, "_subject", "path") for p in ("abusive_crawl:", "query_explosion:", "post_hotspot:")],
-        _rows(entries, incidents, "http_4xx_storm:", "_ip", "ip", status == 4),
-        _rows(entries, incidents, "http_5xx_storm:", "_ip", "ip", status == 5),
-        _rows(entries, incidents, "http_head_flood:", "_ip", "ip", F.col("method") == "HEAD"),
-        _rows(entries, incidents, "scanner_signature_paths:", "_ip", "ip", F.col("path").isin(P.FINGERPRINT_PATHS)),
-        *[_rows(entries, incidents, p, "_ip", "ip") for p in ("fake_bot_", "ddos_rps_burst_single_ip:", "single_ip_path_explosion:", "ua_rotation_same_ip:")],
-        _rows(entries.withColumn("subnet", S.subnet_of(F.col("ip"))), incidents, "ddos_distributed_subnet:", "_subject", "subnet"),
-    ]
-    scanners = incidents.filter(F.col("id").startswith("scanner_ua_known:")).select("id", "_subject", F.col("_ip").alias("ip"))
+    """id, row.  incidents are scored ones, with their facts.  Detectors with the same key share one join."""
+    detector = F.substring_index("id", ":", 1)
+    about = incidents.select("id", "kind", "_ip", "_subject", detector.alias("_d"))
+    rules = about.join(hits.select("rule").distinct().withColumnRenamed("rule", "_subject"), "_subject", "left_semi")
+    rules = rules.select("id", F.col("_subject").alias("rule"), F.col("_ip").alias("ip"))
+    out = [hits.select("row", "ip", "rule").join(rules, ["ip", "rule"]).select("id", "row")]
+
+    of_path = about.filter(F.col("_d").isin(*BY_PATH)).select("id", F.col("_subject").alias("path"))
+    out.append(entries.select("row", "path").join(of_path, "path").select("id", "row"))
+
+    of_ip = about.filter(F.col("_d").isin(*BY_ADDRESS)).select("id", "_d", F.col("_ip").alias("ip"))
+    counts = reduce(lambda x, y: x | y, [(F.col("_d") == d) & rows() for d, rows in BY_ADDRESS.items()])
+    out.append(entries.select("row", "ip", "status", "method", "path").join(of_ip, "ip").filter(counts).select("id", "row"))
+
+    of_subnet = about.filter(F.col("_d") == "ddos_distributed_subnet").select("id", F.col("_subject").alias("subnet"))
+    out.append(entries.select("row", S.subnet_of(F.col("ip")).alias("subnet")).join(of_subnet, "subnet").select("id", "row"))
+
+    scanners = about.filter(F.col("_d") == "scanner_ua_known").select("id", F.col("_subject").alias("name"), F.col("_ip").alias("ip"))
     matches = _agents_matching(entries, agents.SCANNERS)
-    out.append(entries.select("row", "ip", "ua").join(scanners, "ip").join(matches.withColumnRenamed("name", "_subject"), ["ua", "_subject"], "left_semi").select("id", "row"))
-    bots = incidents.filter(F.col("id").startswith("ai_scraper_known:")).select("id", "kind", F.col("_subject").alias("name"))
+    out.append(entries.select("row", "ip", "ua").join(scanners, "ip").join(matches, ["ua", "name"], "left_semi").select("id", "row"))
+
+    bots = about.filter(F.col("_d") == "ai_scraper_known").select("id", "kind", F.col("_subject").alias("name"))
     named = _agents_matching(entries, agents.AI_BOTS).join(bots, "name").select("ua", "id", "kind")
-    out.append(entries.select("row", "ua", "status").join(named, "ua").filter((F.col("kind") != "saturation") | S.is_served(F.col("status"))).select("id", "row"))
+    served = (F.col("kind") != "saturation") | S.is_served(F.col("status"))
+    out.append(entries.select("row", "ua", "status").join(named, "ua").filter(served).select("id", "row"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -85,7 +85,7 @@ class Analysis:
     @property
     def bridge(self) -> DataFrame:
         """id, row of every incident."""
-        return self._once("bridge", lambda: matches.incident_rows(self.entries, self.hits, self.scored))
+        return self._once("bridge", lambda: matches.incident_rows(self.entries, self.hits, self.scored), True)
 
     def match_samples(self, most: int = 200) -> DataFrame:
         return matches.match_samples(self.bridge, most)
