@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import stored
 from .operators import parse
 
 #: Expressions in SQL that Spark and DuckDB both read; {div} is integer division, {text} a cast to text.
@@ -44,10 +45,19 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("k", line.alias("value"))
 
 
+def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed entries of the whole log, for what does not look at row numbers: these take a second pass and a shuffle."""
+    return parse.enriched(parse.entries(log_lines(spark, sf_dir), parse.BUILT_IN[0]).filter("ok").drop("ok"))
+
+
+def stored_entries(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of unnumbered entries in a table, for what reads them several times."""
+    return stored.keep(unnumbered(spark, sf_dir).select(*columns), "entries")
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed and numbered entries of the whole log."""
-    parsed = parse.entries(log_lines(spark, sf_dir), parse.BUILT_IN[0]).filter("ok").drop("ok")
-    df = parse.numbered_by_time(parse.enriched(parsed))
+    df = parse.numbered_by_time(unnumbered(spark, sf_dir))
     return df.withColumn("source", F.lit("events.log")).withColumn("line", F.col("row") + 1)
 
 

@@ -238,6 +238,8 @@ def known_actors(entries: DataFrame) -> DataFrame:
 def bot_rollup(entries: DataFrame, actors: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """One row an AI bot.  A client's rows count for its first bot from that bot's first row on, whatever agents follow."""
     bots = actors.filter("bot is not null").select("ip", "bot", "botFrom")
+    if bots.limit(t.broadcast_ips + 1).count() <= t.broadcast_ips:
+        bots = F.broadcast(bots)  # rows of other clients then stay where they are
     rows = entries.filter("epoch is not null").join(bots, "ip").filter("row >= botFrom").withColumn("minute", F.floor(F.col("epoch") / 60))
     served = S.is_served(F.col("status"))
     fine = rows.groupBy("bot", "minute", "path").agg(

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import corpus
+from . import corpus, stored
 from .data import agents as AG, paths as P, ranges as R, signatures as SG
 from .functions import scalars as S
 from .operators import aggregates as A, behavior as B, filterlang, insights_sql, parse, path_rules, query, rules, scoring
@@ -20,7 +20,14 @@ ORACLE_SQL: dict[str, str] = {}
 SMALL = Thresholds(storm_4xx=5, storm_5xx=5, many_paths=20, many_paths_per_minute=0.1, many_agents=1, many_agents_requests=20, many_agents_peak=1, fingerprint_paths=1, ai_medium_requests=20)
 
 _E = f"WITH e AS {corpus.sql_log()}"
-L = corpus.entries
+L, U, K = corpus.entries, corpus.unnumbered, corpus.stored_entries
+_FOR_PATHS = ("path", "ip", "bytes", "method", "epoch", "status", "signature")
+_FOR_PROFILES = ("ip", "path", "epoch", "status", "method", "ua")
+
+
+def _stored(spark, d, *columns):
+    """Columns of numbered entries, in a table."""
+    return stored.keep(L(spark, d).select(*columns), "entries")
 
 
 def _register(name: str, sql: str | None = None):
@@ -61,7 +68,7 @@ def _tops():
         else:
             source = f"{_E}, {_PARAMS} SELECT DISTINCT row, {'name' if what == 'params' else _PARAM_LABEL} AS value FROM p"
         sql = f'SELECT value, count(*) AS "count" FROM ({source}) GROUP BY value ORDER BY 2 DESC, 1 LIMIT 20'
-        _register(name, sql)(lambda spark, d, what=what: A.top_of(L(spark, d), what, 20))
+        _register(name, sql)(lambda spark, d, what=what: A.top_of(U(spark, d), what, 20))
 
 
 _tops()
@@ -135,10 +142,10 @@ _register("redact_targets", f"{_E}, {_X} SELECT DISTINCT t AS target FROM x")(la
 _SIG = (
     f"CASE WHEN query = '' THEN '' WHEN contains(query, 'utm_source=') THEN '?' || regexp_replace(query, '&utm_source=feed', '') ELSE regexp_replace('?' || replace(replace(query, '<', '%3C'), '>', '%3E'), '(?i)({_SECRET})=([^&\\s\"]+)', '\\1=[REDACTED]', 'g') END"
 )
-_register("query_signatures", f"{_E} SELECT DISTINCT target, {_SIG} AS signature FROM e")(lambda spark, d: L(spark, d).select("target", "signature").distinct())
-_register("ua_labels", f"{_E} SELECT DISTINCT ua, {_AGENT_LABEL} AS label FROM e")(lambda spark, d: L(spark, d).select("ua").distinct().select("ua", S.agent_label(F.col("ua")).alias("label")))
+_register("query_signatures", f"{_E} SELECT DISTINCT target, {_SIG} AS signature FROM e")(lambda spark, d: U(spark, d).select("target", "signature").distinct())
+_register("ua_labels", f"{_E} SELECT DISTINCT ua, {_AGENT_LABEL} AS label FROM e")(lambda spark, d: U(spark, d).select("ua").distinct().select("ua", S.agent_label(F.col("ua")).alias("label")))
 _SUBNET = "CASE WHEN contains(ip, ':') THEN regexp_extract(ip, '^([0-9a-f]+:[0-9a-f]+:[0-9a-f]+)::', 1) || '::/48' ELSE regexp_extract(ip, '^([0-9]+[.][0-9]+[.][0-9]+)[.]', 1) || '.0/24' END"
-_register("subnets", f"{_E} SELECT {_SUBNET} AS subnet, count(*) AS n FROM e GROUP BY 1")(lambda spark, d: L(spark, d).groupBy(S.subnet_of(F.col("ip")).alias("subnet")).agg(F.count("*").alias("n")))
+_register("subnets", f"{_E} SELECT {_SUBNET} AS subnet, count(*) AS n FROM e GROUP BY 1")(lambda spark, d: U(spark, d).groupBy(S.subnet_of(F.col("ip")).alias("subnet")).agg(F.count("*").alias("n")))
 _V4 = [(a, b) for v, a, b in R.merged(R.GOOGLEBOT) if v == 4]
 _V4_BING = [(a, b) for v, a, b in R.merged(R.BINGBOT) if v == 4]
 
@@ -149,7 +156,7 @@ def _inside(ranges):
 
 
 _register("verified_crawlers", f"{_E} SELECT DISTINCT ip FROM e WHERE {_inside(_V4)} OR {_inside(_V4_BING)}")(
-    lambda spark, d: L(spark, d).select("ip").distinct().filter(B.Ranges().verified(F.col("ip")))
+    lambda spark, d: U(spark, d).select("ip").distinct().filter(B.Ranges().verified(F.col("ip")))
 )
 
 # ---- rules -----------------------------------------------------------------------------------------------------
@@ -189,9 +196,9 @@ ps AS (SELECT path, count(*) AS "count", CAST(sum(coalesce(bytes, 0)) AS BIGINT)
  count(*) FILTER (status // 100 = 2) AS status2xx, count(*) FILTER (status // 100 = 3) AS status3xx, count(*) FILTER (status // 100 = 4) AS status4xx, count(*) FILTER (status // 100 = 5) AS status5xx,
  any_value(mreq) AS "maxRequestsPerMinute", any_value(mserved) AS "maxServedPerMinute" FROM g JOIN pi USING (path) JOIN pm USING (path) GROUP BY path)"""
 _PATH_COLUMNS = ["path", "count", "bytes", "uniqueIps", "repeatedIps", "repeatedRequests", "queryVariants", "postCount", "firstSeen", "lastSeen", "status2xx", "status3xx", "status4xx", "status5xx", "maxRequestsPerMinute", "maxServedPerMinute"]
-_register("path_stats", f"{_E}, {_STATS} SELECT * FROM ps")(lambda spark, d: A.path_stats(L(spark, d)).select(*_PATH_COLUMNS))
+_register("path_stats", f"{_E}, {_STATS} SELECT * FROM ps")(lambda spark, d: A.path_stats(K(spark, d, *_FOR_PATHS)).select(*_PATH_COLUMNS))
 _register("path_peak_minute", f'{_E}, {_STATS} SELECT path, "maxRequestsPerMinute", "maxServedPerMinute" FROM ps')(
-    lambda spark, d: A.path_minutes(L(spark, d)).groupBy("path").agg(F.max("n").alias("maxRequestsPerMinute"), F.max("served").alias("maxServedPerMinute"))
+    lambda spark, d: A.path_minutes(U(spark, d)).groupBy("path").agg(F.max("n").alias("maxRequestsPerMinute"), F.max("served").alias("maxServedPerMinute"))
 )
 _entry = "(CASE WHEN rtrim(lower(path), '/') = '' THEN '/' ELSE rtrim(lower(path), '/') END) IN ('/', '/index', '/index.html', '/index.htm', '/home')"
 _SIGNALS = f"""w AS (SELECT *, floor("repeatedRequests" / "count" * 1000 + 0.5) / 1000 AS share, floor("queryVariants" / "count" * 1000 + 0.5) / 1000 AS ratio, status2xx + status5xx AS served FROM ps
@@ -206,7 +213,7 @@ k AS (SELECT *, CASE WHEN NOT crawl THEN NULL
  WHEN "maxServedPerMinute" < CASE WHEN ratio >= 0.75 AND served >= 20000 THEN 60 ELSE 120 END THEN NULL
  WHEN "queryVariants" >= 1000 AND ratio >= 0.5 THEN 'query_churn' WHEN "repeatedIps" >= 20 AND share >= 0.8 THEN 'repeat_pressure' END AS saturation,
  NOT crawl AND NOT {_entry} AND "queryVariants" >= 150 AND "count" >= 500 AND ratio >= 0.5 AS explosion, "postCount" >= 200 AS hotspot FROM c)"""
-_sig = lambda spark, d: path_rules.signals(A.path_stats(L(spark, d)))
+_sig = lambda spark, d: path_rules.signals(A.path_stats(K(spark, d, *_FOR_PATHS)))
 _register("crawl_signal", f"{_E}, {_STATS}, {_SIGNALS} SELECT path, share, ratio, crawl FROM k")(lambda spark, d: _sig(spark, d).select("path", "share", "ratio", "crawl"))
 _register("saturation_class", f"{_E}, {_STATS}, {_SIGNALS} SELECT path, saturation FROM k WHERE crawl")(lambda spark, d: _sig(spark, d).filter("crawl").select("path", "saturation"))
 _register("query_explosion", f"{_E}, {_STATS}, {_SIGNALS} SELECT path FROM k WHERE explosion")(lambda spark, d: _sig(spark, d).filter("explosion").select("path"))
@@ -227,21 +234,21 @@ def _run(source, keys, where, name):
     )
 
 
-_register("global_rps", f"{_E}, {_RPS} SELECT epoch, n FROM q")(lambda spark, d: A.rps(L(spark, d)))
-_register("rps_peak", f"{_E}, {_RPS} SELECT epoch, n FROM q ORDER BY n DESC, epoch LIMIT 1")(lambda spark, d: A.rps(L(spark, d)).orderBy(F.desc("n"), "epoch").limit(1))
-_register("rps_p95", f"{_E}, {_RPS}, {_P95} SELECT p95 FROM p95")(lambda spark, d: A.p95(A.rps(L(spark, d))))
+_register("global_rps", f"{_E}, {_RPS} SELECT epoch, n FROM q")(lambda spark, d: A.rps(U(spark, d)))
+_register("rps_peak", f"{_E}, {_RPS} SELECT epoch, n FROM q ORDER BY n DESC, epoch LIMIT 1")(lambda spark, d: A.rps(U(spark, d)).orderBy(F.desc("n"), "epoch").limit(1))
+_register("rps_p95", f"{_E}, {_RPS}, {_P95} SELECT p95 FROM p95")(lambda spark, d: A.p95(A.rps(U(spark, d))))
 _register("global_spike", f"{_E}, {_RPS}, {_P95}, {_run('q', '', 'n >= greatest(100, 5 * (SELECT p95 FROM p95))', 'z')} SELECT run_seconds, run_start, run_end FROM z WHERE run_seconds >= 10")(
-    lambda spark, d: B.global_spike(A.rps(L(spark, d))).select("run_seconds", "run_start", "run_end")
+    lambda spark, d: B.global_spike(stored.keep(A.rps(U(spark, d)), "seconds")).select("run_seconds", "run_start", "run_end")
 )
 _iso = lambda x: f"strftime(to_timestamp({x}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z')"
 _register(
     "time_stats",
     f"{_E}, {_RPS}, {_P95} SELECT {_iso('min(epoch)')} AS \"firstSeen\", {_iso('max(epoch)')} AS \"lastSeen\", max(n) AS \"peakGlobalRps\", {_iso('arg_max(epoch, n * 10000000000 - epoch)')} AS \"peakGlobalRpsAt\", "
     '(SELECT p95 FROM p95) AS "globalRpsP95", 0::BIGINT AS "invalidTimestampLines", 0::BIGINT AS "outOfOrderTimestamps", 0::BIGINT AS "droppedIpCount", 0::BIGINT AS "droppedSubnetCount" FROM q',
-)(lambda spark, d: A.time_stats(L(spark, d)))
+)(lambda spark, d: A.time_stats(_stored(spark, d, "epoch", "row")))
 # arrival by event number instead of time: half of the rows come late
 _LATE = "SELECT count(*) FILTER (epoch < m - 60) AS late FROM (SELECT epoch, max(epoch) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM e)"
-_register("late_rows", f"{_E} {_LATE}")(lambda spark, d: A.late_rows(L(spark, d).withColumn("row", F.col("k"))))
+_register("late_rows", f"{_E} {_LATE}")(lambda spark, d: A.late_rows(U(spark, d).withColumn("row", F.col("k"))))
 
 _SEC = "t AS (SELECT ip, epoch, count(*) AS n, count(*) FILTER (method = 'HEAD') AS heads FROM e GROUP BY ip, epoch)"
 _PROF = f"""{_SEC}, pk AS (SELECT ip, max(n) AS "peakRps", arg_max(epoch, n * 10000000000 - epoch) AS "peakRpsAt", max(heads) AS "peakHeadRps" FROM t GROUP BY ip),
@@ -249,19 +256,19 @@ pr AS (SELECT e.ip, count(*) AS "totalRequests", min(epoch) AS "firstSeen", max(
  least(count(DISTINCT ua), 9) AS "uaCount", count(*) FILTER (status // 100 = 4) AS "status4xxCount", count(*) FILTER (status // 100 = 5) AS "status5xxCount", count(*) FILTER (method = 'HEAD') AS "headCount",
  any_value("peakHeadRps") AS "peakHeadRps" FROM e JOIN pk USING (ip) GROUP BY e.ip)"""
 _PROF_COLUMNS = ["ip", "totalRequests", "firstSeen", "lastSeen", "peakRps", "peakRpsAt", "pathCount", "uaCount", "status4xxCount", "status5xxCount", "headCount", "peakHeadRps"]
-_register("ip_profiles", f"{_E}, {_PROF} SELECT * FROM pr")(lambda spark, d: A.ip_profiles(L(spark, d)).select(*_PROF_COLUMNS))
+_register("ip_profiles", f"{_E}, {_PROF} SELECT * FROM pr")(lambda spark, d: A.ip_profiles(K(spark, d, *_FOR_PROFILES)).select(*_PROF_COLUMNS))
 _register("top_clients", f'{_E}, {_PROF} SELECT ip, "totalRequests", "peakRps", "pathCount" FROM pr ORDER BY 2 DESC, 1 LIMIT 100')(
-    lambda spark, d: A.top_clients(A.ip_profiles(L(spark, d))).select("ip", "totalRequests", "peakRps", "pathCount")
+    lambda spark, d: A.top_clients(A.ip_profiles(K(spark, d, *_FOR_PROFILES))).select("ip", "totalRequests", "peakRps", "pathCount")
 )
-_register("ip_burst", f"{_E}, {_SEC}, {_run('t', 'ip', 'n >= 50', 'z')} SELECT ip, run_seconds, run_start, run_end FROM z WHERE run_seconds >= 3")(lambda spark, d: B.bursts(L(spark, d)))
+_register("ip_burst", f"{_E}, {_SEC}, {_run('t', 'ip', 'n >= 50', 'z')} SELECT ip, run_seconds, run_start, run_end FROM z WHERE run_seconds >= 3")(lambda spark, d: B.bursts(U(spark, d)))
 _register("head_flood", f'{_E}, {_PROF} SELECT ip, "headCount", floor("headCount" / "totalRequests" * 1000 + 0.5) / 1000 AS "headRatio" FROM pr WHERE "totalRequests" >= 500 AND "headCount" / "totalRequests" >= 0.7 AND "peakHeadRps" >= 25')(
-    lambda spark, d: B.head_floods(A.ip_profiles(L(spark, d))).select("ip", "headCount", "headRatio")
+    lambda spark, d: B.head_floods(A.ip_profiles(K(spark, d, *_FOR_PROFILES))).select("ip", "headCount", "headRatio")
 )
 _register("path_explosion", f'{_E}, {_PROF} SELECT ip, "pathCount" FROM pr WHERE "pathCount" >= 20 AND "pathCount" / (greatest(1, "lastSeen" - "firstSeen") / 60) >= 0.1')(
-    lambda spark, d: B.path_explosions(A.ip_profiles(L(spark, d)), SMALL).select("ip", "pathCount")
+    lambda spark, d: B.path_explosions(A.ip_profiles(K(spark, d, *_FOR_PROFILES)), SMALL).select("ip", "pathCount")
 )
 _register("ua_rotation", f'{_E}, {_PROF} SELECT ip, "uaCount" FROM pr WHERE "uaCount" >= 1 AND "totalRequests" >= 20 AND "peakRps" >= 1')(
-    lambda spark, d: B.agent_rotations(A.ip_profiles(L(spark, d)), SMALL).select("ip", "uaCount")
+    lambda spark, d: B.agent_rotations(A.ip_profiles(K(spark, d, *_FOR_PROFILES)), SMALL).select("ip", "uaCount")
 )
 
 
@@ -272,8 +279,8 @@ def _storm(family):
     )
 
 
-_register("storms_4xx", f"{_E} {_storm(4)}")(lambda spark, d: A.storms(L(spark, d), 4))
-_register("storms_5xx", f"{_E} {_storm(5)}")(lambda spark, d: A.storms(L(spark, d), 5))
+_register("storms_4xx", f"{_E} {_storm(4)}")(lambda spark, d: A.storms(U(spark, d), 4))
+_register("storms_5xx", f"{_E} {_storm(5)}")(lambda spark, d: A.storms(U(spark, d), 5))
 
 _case = lambda col, patterns: "CASE " + " ".join(f"WHEN regexp_matches({col}, {_quote('(?i)' + p)}) THEN '{n}'" for n, p in patterns) + " END"
 _STICKY = f"""b AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY ip ORDER BY CASE WHEN own IS NULL THEN 1 ELSE 0 END DESC, row DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS bot,
@@ -285,7 +292,7 @@ _BOT_COLUMNS = ["botName", "requests", "ipCount", "pathCount", "requestedRobotsT
 
 
 def _bots(spark, d):
-    e = L(spark, d)
+    e = _stored(spark, d, "ip", "ua", "row", "epoch", "path", "status")
     return A.bot_rollup(e, A.known_actors(e))
 
 
@@ -293,6 +300,14 @@ _register("ai_bot_rollup", f"{_E}, {_STICKY} SELECT * FROM bs")(lambda spark, d:
 _register("scanner_ips", f"{_E} SELECT ip, arg_min({_case('ua', AG.SCANNERS)}, row) AS scanner FROM e WHERE {_case('ua', AG.SCANNERS)} IS NOT NULL GROUP BY ip")(
     lambda spark, d: A.known_actors(L(spark, d)).filter("scanner is not null").select("ip", "scanner")
 )
+
+
+def _fake_bots(e):
+    profiles = stored.keep(A.ip_profiles(e), "profiles")
+    found = B.fake_bots(profiles, A.known_actors(e), B.Ranges().crawlers(profiles.select("ip")))
+    return found.select("ip", "claimed", "totalRequests", "pathCount")
+
+
 _FP = "(" + ", ".join(_quote(p) for p in P.FINGERPRINT_PATHS) + ")"
 _register(
     "fingerprint_paths",
@@ -300,11 +315,11 @@ _register(
 )(lambda spark, d: A.fingerprint_hits(L(spark, d), P.FINGERPRINT_PATHS).select("ip", "hits"))
 _register(
     "fake_bots", f"{_E}, {_PROF} SELECT ip, 'Googlebot' AS claimed, \"totalRequests\", \"pathCount\" FROM pr WHERE \"totalRequests\" >= 10 AND ip IN (SELECT ip FROM e WHERE contains(ua, 'Googlebot/2')) AND NOT {_inside(_V4)}"
-)(lambda spark, d: B.fake_bots(p := A.ip_profiles(e := L(spark, d)), A.known_actors(e), B.Ranges().crawlers(p.select("ip"))).select("ip", "claimed", "totalRequests", "pathCount"))
+)(lambda spark, d: _fake_bots(_stored(spark, d, "row", *_FOR_PROFILES)))
 _NET = f"sn AS (SELECT {_SUBNET} AS subnet, epoch, count(*) AS n, least(count(DISTINCT ip), 5001) AS ips FROM e GROUP BY 1, 2)"
-_register("subnet_seconds", f"{_E}, {_NET} SELECT * FROM sn")(lambda spark, d: A.subnet_seconds(L(spark, d)))
+_register("subnet_seconds", f"{_E}, {_NET} SELECT * FROM sn")(lambda spark, d: A.subnet_seconds(U(spark, d)))
 _register("subnet_ddos", f"{_E}, {_NET}, {_run('sn', 'subnet', 'n >= 200 AND ips >= 10', 'z')} SELECT subnet, run_seconds, run_start, run_end FROM z WHERE run_seconds >= 5")(
-    lambda spark, d: B.subnet_bursts(L(spark, d)).select("subnet", "run_seconds", "run_start", "run_end")
+    lambda spark, d: B.subnet_bursts(stored.keep(U(spark, d).select("ip", "epoch", "method"), "entries")).select("subnet", "run_seconds", "run_start", "run_end")
 )
 
 # ---- incidents -------------------------------------------------------------------------------------------------

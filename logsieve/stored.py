@@ -12,9 +12,12 @@ _made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` as a URI; where it is unset (tests), a temp folder is set."""
+    """`spark.checkpoint.dir` as a URI.  Where it is unset, a local session (tests) gets a temp folder, and a cluster an
+    error: each of its machines would write to a disk of its own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         base = getattr(spark.sparkContext, "_logsieve_dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="logsieve-")

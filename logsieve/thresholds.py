@@ -79,6 +79,8 @@ class Thresholds:
     cap_subnet_ips: int = 5001
     top_ips: int = 100
     late_seconds: int = 60
+    #: a frame of so many addresses at most is broadcast
+    broadcast_ips: int = 500_000
 
 
 DEFAULT = Thresholds()
