@@ -33,7 +33,7 @@ def analyze(
     include: str | None = None, exclude: str | None = None, thresholds: Thresholds = DEFAULT, ranges: B.Ranges | None = None, strict_gate: bool = True,
 ) -> Result:
     to_workers(spark)
-    files = discover.discover(paths, include, exclude)
+    files = discover.discover(paths, include, exclude, spark)
     if not files:
         raise ValueError("no input files")
     custom = formats.load(format_config) if format_config else []

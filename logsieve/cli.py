@@ -6,6 +6,8 @@ import argparse
 import sys
 from datetime import datetime
 
+from . import __version__
+
 
 def _top(text: str) -> int:
     import re
@@ -43,12 +45,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--master", help="Spark master; default: the environment's")
     p.add_argument("--no-interactive", action="store_true", help="accepted; there is no interactive mode")
     p.add_argument("--no-color", action="store_true", help="accepted; output has no colour")
+    p.add_argument("--sweep", type=float, metavar="HOURS", help="first delete scratch tables that are older, of runs that never ended")
+    p.add_argument("-v", "--version", action="version", version=f"logsieve {__version__}")
     p.add_argument("--debug", action="store_true", help="show tracebacks")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    from . import stored
     from .api import analyze
     from .operators.query import query_rows
     from .session import session
@@ -59,8 +64,10 @@ def main(argv: list[str] | None = None) -> int:
         paths = args.paths or (["-"] if not sys.stdin.isatty() else [])
         if not paths:
             raise ValueError("no input")
-        files = [p for p in paths if p != "-"] + [spooled_stdin() for p in paths if p == "-"]
         spark = session(args.master or "local[*]")
+        if args.sweep is not None:
+            stored.sweep(spark, args.sweep)
+        files = [p for p in paths if p != "-"] + [spooled_stdin(spark) for p in paths if p == "-"]
         result = analyze(spark, files, args.format, args.format_config, args.since, args.until, args.top, args.include, args.exclude)
         if args.export:
             export.export(query_rows(result.analysis.log, args.filter), args.export, args.export.rpartition(".")[2])
@@ -70,6 +77,7 @@ def main(argv: list[str] | None = None) -> int:
                 f.write(text)
         else:
             sys.stdout.write(text)
+        stored.release(spark)
         return 0
     except Exception as e:
         if args.debug:

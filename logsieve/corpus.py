@@ -61,6 +61,32 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("source", F.lit("events.log")).withColumn("line", F.col("row") + 1)
 
 
+#: Lines of a derived log file.
+FILE_LINES = 500
+
+
+def log_files(spark: SparkSession, sf_dir: str, ending: str) -> list[str]:
+    """The derived log as files of FILE_LINES lines (k div FILE_LINES is the number of the file) of one kind, written by tasks
+    into the shared folder."""
+    folder = stored.scratch(spark, "log-files").removeprefix("file://")
+    lines = log_lines(spark, sf_dir).withColumn("f", F.floor(F.col("k") / FILE_LINES))
+
+    def write(key, pdf):
+        import os
+
+        import pandas as pd
+
+        from .sources import archives
+
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/access-{key[0]:08d}{ending}"
+        archives.write_archive(path, f"logs/access-{key[0]:08d}.log", pdf.sort_values("k")["value"])
+        return pd.DataFrame({"path": [path]})
+
+    written = lines.groupBy("f").applyInPandas(write, "path string")
+    return sorted(r.path for r in written.toLocalIterator())
+
+
 def sql_log() -> str:
     """A DuckDB query with the same entries, from the recipe rather than from lines."""
     e = _expressions("//")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import corpus, stored
 from .data import agents as AG, paths as P, ranges as R, signatures as SG
 from .functions import scalars as S
-from .operators import aggregates as A, behavior as B, filterlang, insights_sql, parse, path_rules, query, rules, scoring
+from .operators import aggregates as A, behavior as B, filterlang, insights_sql, parse, path_rules, query, rules, scoring, windows
 from .plans import analysis
 from .ship import shipped
+from .sinks import export
+from .sources import discover, logs
 from .thresholds import Thresholds
 
 QUERIES: dict = {}
@@ -384,3 +386,121 @@ _register("incident_rows", f'{_ALL}, {_ROWS} SELECT id, count(*) AS "totalMatche
 _register("incident_row_samples", f"{_ALL}, {_ROWS} SELECT id, row FROM (SELECT id, row, row_number() OVER (PARTITION BY id ORDER BY row) AS i FROM br) WHERE i <= 200")(
     lambda spark, d: analysis.Analysis(L(spark, d)).match_samples()
 )
+
+
+# ---- files -----------------------------------------------------------------------------------------------------
+
+# rows stand in the order of files and lines: by event number, not by time
+_FILE_ROWS = f"""SELECT k AS "row", k // {corpus.FILE_LINES} AS file, k % {corpus.FILE_LINES} + 1 AS line, ip, epoch, method, path, status, bytes, ua FROM e"""
+
+
+def _from_files(spark, d, ending, **options):
+    files = corpus.log_files(spark, d, ending)
+    kept = logs.read_log(spark, files, **options)[1]
+    number = F.regexp_extract("source", "access-([0-9]{8})", 1).cast("bigint")
+    return kept.select("row", number.alias("file"), "line", "ip", "epoch", "method", "path", "status", "bytes", "ua")
+
+
+for _name, _ending in (("source_text", ".log"), ("source_gzip", ".log.gz"), ("source_zip", ".zip"), ("source_tar_gz", ".tar.gz")):
+    _register(_name, f"{_E} {_FILE_ROWS}")(lambda spark, d, ending=_ending: _from_files(spark, d, ending))
+_register("source_since_until", f"{_E} {_FILE_ROWS.replace('k AS', 'row_number() OVER (ORDER BY k) - 1 AS', 1)} WHERE epoch BETWEEN 1767225700 AND 1767226000")(
+    lambda spark, d: _from_files(spark, d, ".log", since="2026-01-01T00:01:40Z", until="2026-01-01T00:06:40Z")
+)
+
+
+def _discovered(spark, d):
+    folder = corpus.log_files(spark, d, ".log")[0].rpartition("/")[0]
+    found = [(int(p[-12:-4]),) for p in discover.discover(["file://" + folder], include="*access-*[02468].log", spark=spark)]
+    return spark.createDataFrame(found, "file bigint")
+
+
+_register("source_discovery", f"{_E} SELECT DISTINCT k // {corpus.FILE_LINES} AS file FROM e WHERE k // {corpus.FILE_LINES} % 2 = 0")(_discovered)
+
+
+def _formats(spark, d):
+    found = logs.read_log(spark, corpus.log_files(spark, d, ".log"))[2]
+    return spark.createDataFrame([(int(f.file[-12:-4]), f.format, f.sampledLines, f.parsedSampleLines, f.sampleParseRatio) for f in found], "file bigint, format string, sampled bigint, parsed bigint, ratio double")
+
+
+_register("source_sampling", f"{_E} SELECT k // {corpus.FILE_LINES} AS file, 'apache_combined' AS format, least(count(*), 200) AS sampled, least(count(*), 200) AS parsed, 1.0::DOUBLE AS ratio FROM e GROUP BY 1")(_formats)
+
+# ---- detectors on changed logs, where the plain one does not reach their limits -----------------------------------
+
+_FEW = "SELECT * FROM e0 WHERE ip IN ('192.0.2.1', '192.0.2.2', '192.0.2.3', '192.0.2.4', '192.0.2.5', '192.0.2.6', '192.0.2.7', '192.0.2.8', '192.0.2.9')"
+_E_FEW = f"WITH e0 AS {corpus.sql_log()}, e AS ({_FEW})"
+_register("query_explosion_few_clients", f"{_E_FEW}, {_STATS}, {_SIGNALS} SELECT path, \"count\", \"queryVariants\" FROM k WHERE explosion")(
+    lambda spark, d: path_rules.signals(A.path_stats(K(spark, d, *_FOR_PATHS).filter(F.col("ip").isin([f"192.0.2.{n}" for n in range(1, 10)]))))
+    .filter("explosion").select("path", "count", "queryVariants")
+)
+_BING = "Mozilla/5.0 (compatible; bingbot/2.0; +http://www.bing.com/bingbot.htm)"
+_E_BING = f"WITH e0 AS {corpus.sql_log()}, e AS (SELECT * REPLACE (CASE WHEN k % 6 = 0 THEN '{_BING}' ELSE ua END AS ua, CASE WHEN k % 12 = 0 THEN '157.55.39.' || (k % 50) ELSE ip END AS ip) FROM e0)"
+_CLAIM = "SELECT ip, '{0}' AS claimed, \"totalRequests\", \"pathCount\" FROM pr WHERE \"totalRequests\" >= 10 AND ip IN (SELECT ip FROM e WHERE contains(ua, '{0}/2')) AND NOT {1}"
+
+
+def _with_bing(spark, d):
+    e = _stored(spark, d, "k", "row", *_FOR_PROFILES)
+    ip = F.when(F.col("k") % 12 == 0, F.concat(F.lit("157.55.39."), F.col("k") % 50)).otherwise(F.col("ip"))
+    return _fake_bots(e.withColumn("ua", F.when(F.col("k") % 6 == 0, _BING).otherwise(F.col("ua"))).withColumn("ip", ip))
+
+
+_register("fake_bots_both", f"{_E_BING}, {_PROF} {_CLAIM.format('Googlebot', _inside(_V4))} UNION ALL {_CLAIM.format('bingbot', _inside(_V4_BING))}")(_with_bing)
+_SCAN = "[" + ", ".join(_quote(x) for x in P.FINGERPRINT_PATHS) + "]"
+_register(
+    "fingerprint_incidents",
+    f"WITH e0 AS {corpus.sql_log()}, e AS (SELECT * REPLACE (CASE WHEN k % 4 = 1 THEN {_SCAN}[k % {len(P.FINGERPRINT_PATHS)} + 1] ELSE path END AS path) FROM e0), "
+    f"f AS (SELECT DISTINCT ip, epoch // 60 AS b, path FROM e WHERE path IN {_FP}), h AS (SELECT a.ip, a.b, count(DISTINCT f.path) AS h FROM (SELECT DISTINCT ip, b FROM f) a JOIN f ON f.ip = a.ip AND f.b IN (a.b, a.b - 1) GROUP BY 1, 2) "
+    "SELECT ip, max(h) AS hits FROM h GROUP BY ip HAVING max(h) >= 20",
+)(lambda spark, d: _fingerprints(spark, d).filter(F.col("hits") >= Thresholds().fingerprint_paths).select("ip", "hits"))
+
+
+def _fingerprints(spark, d):
+    e = _stored(spark, d, "k", "row", "ip", "epoch", "path")
+    paths = F.array(*[F.lit(x) for x in P.FINGERPRINT_PATHS])
+    path = F.when(F.col("k") % 4 == 1, F.element_at(paths, (F.col("k") % len(P.FINGERPRINT_PATHS) + 1).cast("int"))).otherwise(F.col("path"))
+    return A.fingerprint_hits(e.withColumn("path", path), P.FINGERPRINT_PATHS)
+
+
+# ---- order, samples, lookups -------------------------------------------------------------------------------------
+
+_KIND_WEIGHT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in scoring.KINDS.items()) + " END"
+_register(
+    "incident_order",
+    f"{_ALL} SELECT id, row_number() OVER (ORDER BY {_KIND_WEIGHT} DESC, CASE WHEN score >= 90 THEN 5 WHEN score >= 75 THEN 4 WHEN score >= 50 THEN 3 WHEN score >= 25 THEN 2 ELSE 1 END DESC, score DESC, id) AS place FROM ff",
+)(lambda spark, d: _places(spark, analysis.Analysis(L(spark, d)).incidents().select("id")))
+
+
+def _places(spark, ordered):
+    """id and the place at which it comes when the frame is read in order: partitions of a sorted frame are in order."""
+    kept = stored.keep(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    return kept.select("id", F.row_number().over(Window.orderBy("at")).alias("place"))
+
+
+_register(
+    "path_samples",
+    f"{_E}, {_X}, d AS (SELECT path, t AS sample, min(row) AS pos FROM x WHERE contains(target, '?') GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos, sample) AS i FROM d) SELECT path, i::INTEGER AS nth, sample FROM n WHERE i <= 5",
+)(lambda spark, d: A.path_stats(_stored(spark, d, "row", "target", "full", *_FOR_PATHS), samples=True).select("path", F.posexplode("samples").alias("nth", "sample")).withColumn("nth", F.col("nth") + 1))
+_register("rule_top_paths", f"{_E}, {_HITS}, d AS (SELECT rule, ip, path, min(row) AS pos FROM r GROUP BY 1, 2, 3), n AS (SELECT *, row_number() OVER (PARTITION BY rule, ip ORDER BY pos, path) AS i FROM d) SELECT rule, ip, i::INTEGER AS nth, path FROM n WHERE i <= 10")(
+    lambda spark, d: windows.first_distinct(rules.rule_hits(L(spark, d)).select("rule", "ip", "row", "path"), ["rule", "ip"], "path", "row", 10, "paths").select("rule", "ip", F.posexplode("paths").alias("nth", "path")).withColumn("nth", F.col("nth") + 1)
+)
+_register("rows_by_many_numbers", f"{_E} SELECT row, ip FROM e WHERE row % 3 = 0")(
+    lambda spark, d: query.rows_at(log(spark, d), U(spark, d).select(F.col("k").alias("place"), (F.col("k") * 3).alias("row"))).select("row", "ip")
+)
+_register("page_by_path", f"{_E} SELECT row, path FROM e ORDER BY path, row LIMIT 200 OFFSET 300")(lambda spark, d: query.page(log(spark, d), 300, 200, "", "path")[0].select("row", "path"))
+# seconds as they arrive: by event number, where busy and quiet seconds take turns
+_ARRIVE = """a AS (SELECT ip, epoch, k, epoch IS DISTINCT FROM lag(epoch) OVER (PARTITION BY ip ORDER BY k) AS f FROM e), b AS (SELECT *, sum(f::INT) OVER (PARTITION BY ip ORDER BY k) AS p FROM a),
+c AS (SELECT ip, p, any_value(epoch) AS epoch, count(*) AS n FROM b GROUP BY ip, p), g AS (SELECT *, lag(n) OVER w AS pn, lag(epoch) OVER w AS pe FROM c WINDOW w AS (PARTITION BY ip ORDER BY p)),
+h AS (SELECT *, sum(CASE WHEN n >= 20 AND pn >= 20 AND epoch = pe + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY ip ORDER BY p) AS run FROM g),
+i AS (SELECT ip, run, count(*) AS run_seconds, min(epoch) AS run_start, max(epoch) AS run_end, min(p) AS pos FROM h WHERE n >= 20 GROUP BY ip, run)
+SELECT ip, run_seconds, run_start, run_end FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY run_seconds DESC, pos) AS x FROM i) WHERE x = 1"""
+_register("arrival_runs", f"{_E}, {_ARRIVE}")(lambda spark, d: windows.arrival_runs(U(spark, d).select("ip", "epoch", F.col("k").alias("row")), "ip", 20))
+_register("csv_export", f"{_E} SELECT row, ip, method, path, status::BIGINT AS status, bytes FROM e WHERE status // 100 = 5")(lambda spark, d: _exported(spark, d, "csv"))
+_register("json_export", f"{_E} SELECT row, ip, method, path, status::BIGINT AS status, bytes FROM e WHERE status // 100 = 5")(lambda spark, d: _exported(spark, d, "json"))
+
+
+def _exported(spark, d, fmt):
+    """Rows of a selection, written as a folder and read again."""
+    target = stored.scratch(spark, "export")
+    export.export_folder(query.query_rows(log(spark, d), "status:5xx"), target, fmt)
+    kinds = "row bigint, source string, lineNumber bigint, timestamp string, ip string, method string, target string, path string, status bigint, bytes bigint, userAgent string, raw string"
+    back = spark.read.schema(kinds).csv(target, header=True, quote='"', escape='"') if fmt == "csv" else spark.read.schema(kinds).json(target)
+    return back.select("row", "ip", "method", "path", "status", "bytes")

@@ -33,16 +33,25 @@ def chunks(rows, fmt: str, incident: dict | None = None):
         raise ValueError(f"export format: {fmt}")
 
 
-def export(log: DataFrame, path: str, fmt: str, incident: dict | None = None, progress=None) -> int:
-    """Write the rows in their order into one file; it appears whole or not at all.  Partitions come one by one."""
+def pretty(rows, incident: dict | None = None) -> str:
+    """A selection of rows as indented JSON."""
+    return json.dumps({"incident": incident, "lines": [r.asDict() for r in rows]}, ensure_ascii=False, indent=2) + "\n"
+
+
+def export(log: DataFrame, path: str, fmt: str, incident: dict | None = None, progress=None, stop=None) -> int:
+    """Write the rows in their order into one file; it appears whole or not at all.  Partitions come one by one.  stop() is
+    asked from time to time; where it says so, InterruptedError ends the export and no file is left."""
     n = 0
 
     def counted():
         nonlocal n
         for r in log.toLocalIterator(prefetchPartitions=True):
             n += 1
-            if progress and n % 5000 == 0:
-                progress(n)
+            if n % 5000 == 0:
+                if progress:
+                    progress(n)
+                if stop and stop():
+                    raise InterruptedError(f"export stopped after {n} rows")
             yield r
 
     handle, part = tempfile.mkstemp(prefix=".export-", dir=os.path.dirname(os.path.abspath(path)))

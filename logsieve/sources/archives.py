@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SUFFIXES = (".zip", ".tar.gz", ".tgz", ".br")
 BATCH_ROWS = 8192
+#: Bytes of an archive that goes through Spark in one row, and of a piece of a stream.
+WHOLE, PIECE = 1 << 30, 1 << 16
 
 
 def is_archive(path: str) -> bool:
@@ -28,24 +30,51 @@ def is_candidate(name: str) -> bool:
     return os.path.splitext(base)[1] in ("", ".log", ".txt", ".gz", ".br") or "access" in base
 
 
-def _brotli(stream):
-    try:
-        import brotli
-    except ImportError as e:
-        raise RuntimeError("brotli input needs the brotli package on the executors") from e
-    return io.BytesIO(brotli.decompress(stream.read()))
+class _Stream(io.RawIOBase):
+    """Anything with read(n), as a stream that is read forwards only."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
+class _Brotli:
+    """A brotli stream, decompressed as it is read."""
+
+    def __init__(self, stream):
+        try:
+            import brotli
+        except ImportError as e:
+            raise RuntimeError("brotli input needs the brotli package on the executors") from e
+        self.stream, self.decoder, self.rest = stream, brotli.Decompressor(), b""
+
+    def read(self, n: int) -> bytes:
+        while not self.rest:
+            raw = self.stream.read(PIECE)
+            if not raw:
+                return b""
+            self.rest = self.decoder.process(raw)
+        out, self.rest = self.rest[:n], self.rest[n:]
+        return out
 
 
 def _opened(name: str, stream):
     if name.endswith(".gz"):
         return gzip.GzipFile(fileobj=stream)
-    return _brotli(stream) if name.endswith(".br") else stream
+    return _Brotli(stream) if name.endswith(".br") else stream
 
 
 def streams(path: str, data):
     """(label, byte stream) of each log in an archive that is open as `data`."""
     if path.endswith(".br"):
-        yield path, _brotli(data)
+        yield path, _Brotli(data)
         return
     found = False
     if path.endswith(".zip"):
@@ -65,28 +94,66 @@ def streams(path: str, data):
         raise ValueError(f"no log in archive: {path}")
 
 
+def _from_storage(uri: str):
+    """An open file of a URI that pyarrow knows: local, HDFS, S3, GCS."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + uri[5:].lstrip("/"))
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
 def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source, block, place, value of the archives' lines."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    """source, block, place, value of the archives' lines.  Spark hands over archives of up to WHOLE bytes; larger ones, which
+    no row can hold, are read from their storage as they are unpacked."""
+    files = spark.read.format("binaryFile").load(paths)
+    small = files.filter(F.col("length") <= WHOLE).select("path", "content")
+    large = files.filter(F.col("length") > WHOLE).select("path", F.lit(None).cast("binary").alias("content"))
 
     def unpack(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shown = path.removeprefix("file:")
-                shown = "/" + shown.lstrip("/") if path.startswith("file:") else shown
-                for label, stream in streams(shown, pa.BufferReader(content.as_buffer())):
-                    rows, n = [], 0
-                    for line in io.TextIOWrapper(io.BufferedReader(stream) if not isinstance(stream, io.BytesIO) else stream, "utf-8", "replace", newline=None):
-                        rows.append(line.rstrip("\n"))
-                        if len(rows) == BATCH_ROWS:
-                            yield _batch(label, n, rows)
-                            n, rows = n + len(rows), []
-                    if rows:
-                        yield _batch(label, n, rows)
-
-    def _batch(label, first, rows):
-        return pa.RecordBatch.from_pydict(
-            {"source": [label] * len(rows), "block": pa.array([0] * len(rows), pa.int64()), "place": pa.array(range(first, first + len(rows)), pa.int64()), "value": pa.array(rows, pa.string())}
-        )
-
-    return files.mapInArrow(unpack, "source string, block long, place long, value string").withColumn("block", F.floor(F.col("place") / 1_000_000))
+                shown = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+                data = pa.BufferReader(content.as_buffer()) if content.is_valid else _from_storage(path)
+                with data:
+                    for label, stream in streams(shown, data):
+                        yield from _lines(label, stream)
+
+    kinds = "source string, block long, place long, value string"
+    rows = small.mapInArrow(unpack, kinds).unionByName(large.mapInArrow(unpack, kinds))
+    return rows.withColumn("block", F.floor(F.col("place") / 1_000_000))
+
+
+def _lines(label: str, stream):
+    rows, n = [], 0
+    for line in io.TextIOWrapper(io.BufferedReader(_Stream(stream)), "utf-8", "replace", newline=None):
+        rows.append(line.rstrip("\n"))
+        if len(rows) == BATCH_ROWS:
+            yield _batch(label, n, rows)
+            n, rows = n + len(rows), []
+    if rows:
+        yield _batch(label, n, rows)
+
+
+def _batch(label: str, first: int, rows: list[str]) -> pa.RecordBatch:
+    place = pa.array(range(first, first + len(rows)), pa.int64())
+    columns = [pa.array([label] * len(rows), pa.string()), pa.array([0] * len(rows), pa.int64()), place, pa.array(rows, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["source", "block", "place", "value"])
+
+
+def write_archive(path: str, name: str, lines) -> None:
+    """A zip, tar.gz, gzip or plain file (by its ending) of lines, under an entry name for archives."""
+    data = "".join(x + "\n" for x in lines).encode()
+    if path.endswith(".zip"):
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(name, data)
+            z.writestr("notes.bin", b"\0")
+    elif path.endswith((".tar.gz", ".tgz")):
+        with tarfile.open(path, "w:gz") as t:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    else:
+        with gzip.open(path, "wb") if path.endswith(".gz") else open(path, "wb") as f:
+            f.write(data)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .. import stored
 from ..operators import parse
 from . import archives
 
@@ -41,16 +43,26 @@ def read_lines(spark: SparkSession, files: list[str]) -> DataFrame:
     return out.join(F.broadcast(order), "file").filter("value <> ''").drop("file")
 
 
-def samples(lines: DataFrame, n: int = SAMPLE_LINES) -> list[tuple[str, list[str]]]:
-    """(source, first n lines) of each source: n rows a source are collected, no more."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy("block", "place"))
-    # only first blocks can hold them
-    first = lines.join(lines.groupBy("source").agg(F.min("block").alias("block")), ["source", "block"], "left_semi")
-    rows = first.withColumn("_n", place).filter(F.col("_n") <= n).orderBy("order", "source", "_n").select("source", "value").collect()
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r.source, []).append(r.value)
-    return list(out.items())
+def sampled(lines: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
+    """order, source, value, _n: the first n lines of each source, picked where they are: each task gives the first n of each
+    source that it sees, and only these shuffle."""
+    kinds = "order long, source string, block long, place long, value string"
+
+    def heads(batches):
+        seen: dict[str, int] = {}
+        for batch in batches:
+            sources = batch.column(1).to_pylist()
+            rows = []
+            for i, source in enumerate(sources):
+                if seen.get(source, 0) < n:
+                    seen[source] = seen.get(source, 0) + 1
+                    rows.append(i)
+            if rows:
+                yield batch.take(pa.array(rows))
+
+    few = lines.select("order", "source", "block", "place", "value").mapInArrow(heads, kinds)
+    place = F.row_number().over(Window.partitionBy("order", "source").orderBy("block", "place"))
+    return few.withColumn("_n", place).filter(F.col("_n") <= n)
 
 
 def detect(spark: SparkSession, lines: DataFrame, wanted: str = "auto", custom: list[parse.Format] | None = None) -> list[tuple[InputFormat, parse.Format]]:
@@ -59,16 +71,16 @@ def detect(spark: SparkSession, lines: DataFrame, wanted: str = "auto", custom:
     tried = every if wanted == "auto" else [f for f in every if f.id == wanted]
     if not tried:
         raise ValueError(f"unknown format: {wanted}")
-    sampled = samples(lines)
-    rows = spark.createDataFrame([(i, x) for i, (_, own) in enumerate(sampled) for x in own], "i long, value string").coalesce(1)
-    counts = {f.id: {r.i: r.n for r in parse.entries(rows, f).filter("ok").groupBy("i").agg(F.count("*").alias("n")).collect()} for f in tried}
+    rows = stored.keep(sampled(lines), "sampled-lines")
+    by_source = lambda df: df.groupBy("order", "source").agg(F.count("*").alias("n")).orderBy("order", "source").toLocalIterator()
+    counts = {f.id: {r.source: r.n for r in by_source(parse.entries(rows, f).filter("ok"))} for f in tried}
     out = []
-    for i, (source, own) in enumerate(sampled):
-        best = max(tried, key=lambda f: (counts[f.id].get(i, 0) / len(own), counts[f.id].get(i, 0)))
-        n = counts[best.id].get(i, 0)
-        if n / len(own) < LEAST_RATIO:
-            raise ValueError(f"{source}: not a log of format {wanted} ({n} of {len(own)} sampled lines parse)")
-        out.append((InputFormat(source, best.id, len(own), n, round(n / len(own), 3)), best))
+    for r in by_source(rows):  # a row a source
+        best = max(tried, key=lambda f: counts[f.id].get(r.source, 0))
+        n = counts[best.id].get(r.source, 0)
+        if n / r.n < LEAST_RATIO:
+            raise ValueError(f"{r.source}: not a log of format {wanted} ({n} of {r.n} sampled lines parse)")
+        out.append((InputFormat(r.source, best.id, r.n, n, round(n / r.n, 3)), best))
     return out
 
 

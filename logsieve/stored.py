@@ -41,6 +41,28 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def also(path: str) -> None:
+    """Another path that release() deletes."""
+    _made.append(path)
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 48) -> int:
+    """Delete what processes that ended without release() left in the shared folder; how many folders went."""
+    import time
+
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/logsieve")
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return 0
+    limit, gone = (time.time() - older_than_hours * 3600) * 1000, 0
+    for status in store.listStatus(root):
+        path = status.getPath()
+        if status.getModificationTime() < limit and not any(m.endswith(path.getName()) for m in _made):
+            store.delete(path, True)
+            gone += 1
+    return gone
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
