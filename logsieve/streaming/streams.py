@@ -57,40 +57,85 @@ def hits(stream: DataFrame) -> DataFrame:
     return stream.withColumn("rule", F.explode(rules.rule_ids(F.col("target"), F.col("method"))))
 
 
-def late_counter(stream: DataFrame) -> DataFrame:
-    """Entries before the watermark drops any: for counting how far behind they are in foreachBatch."""
-    return stream.select("epoch", F.unix_seconds(F.current_timestamp()).alias("seen"))
+class LateCounter:
+    """For foreachBatch: counts the entries more than `seconds` behind the newest entry of all earlier batches.  The count is
+    distributed; a batch gives two numbers.  A batch that comes again after a restart counts once."""
+
+    def __init__(self, seconds: int = DEFAULT.late_seconds):
+        self.seconds, self.newest, self.late, self.last = seconds, None, 0, -1
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        if number <= self.last:
+            return
+        limit = F.lit(self.newest).cast("long") - self.seconds
+        row = batch.agg(F.max("epoch").alias("newest"), F.count_if(F.col("epoch") < limit).alias("late")).first()
+        self.late += row.late
+        self.newest = max((x for x in (self.newest, row.newest) if x is not None), default=None)
+        self.last = number
+
+
+def late_counter(stream: DataFrame, seconds: int = DEFAULT.late_seconds):
+    """(LateCounter, writer): start the writer, and read late from the counter."""
+    counter = LateCounter(seconds)
+    return counter, stream.writeStream.foreachBatch(counter)
 
 
 def bursts(stream: DataFrame, t: Thresholds = DEFAULT, key: str = "ip") -> DataFrame:
     """Runs of consecutive seconds with at least burst_rps requests: a row (key, run_seconds, run_start, run_end) whenever
-    a run that is long enough grows.  State per key: counts of the seconds that the watermark has not passed yet, at most
-    as many as entries may be late, and the current run, which goes after 15 idle minutes of event time."""
+    a run that is long enough grows."""
+    return _runs(stream, key, t.burst_rps, t.burst_seconds)
+
+
+def subnet_bursts(stream: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """The same for subnets: seconds with at least subnet_rps requests of at least subnet_ips addresses."""
+    nets = stream.withColumn("subnet", S.subnet_of(F.col("ip"))).filter("subnet is not null")
+    return _runs(nets, "subnet", t.subnet_rps, t.subnet_seconds, t.subnet_ips)
+
+
+def global_bursts(stream: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """run_start, run_end of every stretch of spike_seconds seconds that each have at least spike_rps requests of all clients
+    (a running baseline would need all seconds): sliding windows over counted seconds, so nothing meets in one task but one
+    row a second.  Stretches of a longer run overlap."""
+    counted = stream.withWatermark("ts", LATE).groupBy(F.window("ts", "1 second")).agg(F.count("*").alias("n")).filter(F.col("n") >= t.spike_rps)
+    along = F.window(F.window_time("window"), f"{t.spike_seconds} seconds", "1 second")
+    full = counted.groupBy(along.alias("stretch")).agg(F.count("*").alias("busy")).filter(F.col("busy") == t.spike_seconds)
+    return full.select(F.unix_seconds("stretch.start").alias("run_start"), (F.unix_seconds("stretch.end") - 1).alias("run_end"))
+
+
+def _runs(stream: DataFrame, key: str, least: int, seconds: int, ips: int = 0) -> DataFrame:
+    """State per key: counts of the seconds that the watermark has not passed yet, at most as many as entries may be late,
+    with up to `ips` addresses each, and the current run, which goes after 15 idle minutes of event time."""
     schema = f"{key} string, run_seconds long, run_start long, run_end long"
 
     def fold(group, frames, state):
-        epochs, counts, start, end = state.get if state.exists else ([], [], None, None)
-        pending = dict(zip(epochs or [], counts or []))
+        epochs, counts, seen, start, end = state.get if state.exists else ([], [], [], None, None)
+        pending = {e: [n, set(s)] for e, n, s in zip(epochs or [], counts or [], seen or [])}
         for f in frames:
-            for epoch, n in f["epoch"].value_counts().items():
-                pending[int(epoch)] = pending.get(int(epoch), 0) + int(n)
+            for epoch, own in f.groupby("epoch"):
+                held = pending.setdefault(int(epoch), [0, set()])
+                held[0] += len(own)
+                if len(held[1]) < ips:
+                    held[1].update(sorted(set(own["ip"]) - held[1])[: ips - len(held[1])])
         closed = state.getCurrentWatermarkMs() // 1000
         out = []
         for epoch in sorted(e for e in pending if e < closed):
-            if pending.pop(epoch) >= t.burst_rps:
+            n, addresses = pending.pop(epoch)
+            if n >= least and len(addresses) >= ips:
                 start = start if end is not None and epoch == end + 1 else epoch
                 end = epoch
-                if end - start + 1 >= t.burst_seconds:
+                if end - start + 1 >= seconds:
                     out.append((group[0], end - start + 1, start, end))
         wake = min(pending) + 1 if pending else end + IDLE_SECONDS if end is not None else None
         if wake is None or wake <= closed:
             if state.exists:
                 state.remove()
         else:
-            state.update((list(pending), list(pending.values()), start, end))
+            held = [[*x] for x in zip(*((e, n, sorted(a)) for e, (n, a) in pending.items()))] or [[], [], []]
+            state.update((*held, start, end))
             state.setTimeoutTimestamp(wake * 1000)
         if out:
             yield pd.DataFrame(out, columns=[key, "run_seconds", "run_start", "run_end"])
 
-    slim = stream.withWatermark("ts", LATE).select(key, "epoch", "ts")
-    return slim.groupBy(key).applyInPandasWithState(fold, schema, "epochs array<long>, counts array<long>, start long, end long", "append", "EventTimeTimeout")
+    slim = stream.withWatermark("ts", LATE).select(*dict.fromkeys((key, "ip", "epoch", "ts")))
+    kinds = "epochs array<long>, counts array<long>, seen array<array<string>>, start long, end long"
+    return slim.groupBy(key).applyInPandasWithState(fold, schema, kinds, "append", "EventTimeTimeout")

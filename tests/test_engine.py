@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from logsieve.api import analyze
-from logsieve.operators import aggregates as A, behavior as B, filterlang as FL, parse, path_rules, rules, scoring, windows
+from logsieve.operators import aggregates as A, behavior as B, filterlang as FL, parse, path_rules, query, rules, scoring, windows
 from logsieve.sinks import export, reports
 from logsieve.sources import archives, discover, formats
 from logsieve.streaming import streams
+from logsieve.thresholds import Thresholds
 
 
 def line(ip="10.0.0.1", when="01/Jan/2026:00:00:00 +0000", request="GET / HTTP/1.1", status=200, size="5", ua="curl/8"):
@@ -227,3 +228,116 @@ def test_streams(spark, tmp_path):
     assert {r.epoch - 1767225600: r.n for r in run(streams.rps(make()))} == {1: 50, 2: 50, 3: 50, 4: 50, 3600: 1}
     assert ("9.9.9.9", 200) in [(r.ip, r.most) for r in run(streams.storms(make(), 4))]
     assert max((r.run_seconds, r.run_start - 1767225600) for r in run(streams.bursts(make()))) == (4, 1)
+
+
+def test_streams_of_subnets_and_all(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    at = lambda s: f"01/Jan/2026:00:{s // 60:02d}:{s % 60:02d} +0000"
+    busy = [line(f"10.1.1.{i % 12}", at(s)) for s in range(10, 16) for i in range(210)] + [line("10.2.2.1", at(s)) for s in range(10, 16) for _ in range(210)]
+    names = [("1", busy[::2]), ("2", busy[1::2]), ("3", [line("1.1.1.1", at(40 * 60))]), ("4", [line("1.1.1.1", at(1))] * 3), ("5", [line("1.1.1.1", at(59 * 60))])]
+    for i, (name, rows) in enumerate(names):
+        (folder / f"{name}.log").write_text("\n".join(rows) + "\n")
+        os.utime(folder / f"{name}.log", (1_000_000 + i, 1_000_000 + i))
+
+    def run(writer):
+        q = writer.outputMode("append").option("checkpointLocation", str(tmp_path / f"c{len(os.listdir(tmp_path))}")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+
+    def rows_of(df):
+        got = []
+        run(df.writeStream.foreachBatch(lambda b, _: got.extend(b.collect())))
+        return got
+
+    make = lambda: streams.entries(spark, str(folder), files_per_trigger=1)
+    found = rows_of(streams.subnet_bursts(make()))
+    assert {r.subnet for r in found} == {"10.1.1.0/24"} and max(r.run_seconds for r in found) == 6  # the other has one address
+    few = Thresholds(spike_rps=300, spike_seconds=5)
+    assert sorted((r.run_start - 1767225600, r.run_end - 1767225600) for r in rows_of(streams.global_bursts(make(), few))) == [(10, 14), (11, 15)]
+    counter, writer = streams.late_counter(make())
+    run(writer)
+    assert counter.late == 3 and counter.newest == 1767225600 + 59 * 60
+
+
+def test_rows_by_number(spark):
+    log = spark.createDataFrame([(i, f"v{i}") for i in range(7000)], "row long, v string")
+    assert query.rows_at(log, list(range(6500))).count() == 6500 and query.rows_at(log, [3, 3, 9999]).count() == 1
+    assert [[r.row for r in c] for c in query.chunks_at(log, [5, 2, 5, 6999], 3)] == [[5, 2, 5], [6999]]
+    with pytest.raises(IndexError):
+        list(query.chunks_at(log, [1, 7000]))
+    with pytest.raises(InterruptedError):
+        list(query.chunks_at(log, range(10), 4, stop=lambda: True))
+    assert query.selection([1, 1, 2]) == [1, 2]
+    with pytest.raises(ValueError):
+        query.selection(list(range(5001)))
+
+
+def test_arrival_runs(spark):
+    """Against a fold over rows in order."""
+    rnd = random.Random(12)
+    for _ in range(5):
+        rows = [(rnd.choice("ab"), max(0, i // 9 + rnd.choice([0, 0, 0, 0, 0, 0, 0, -1, 1])), i) for i in range(300)]
+        want = {}
+        for key in "ab":
+            parts = []
+            for _, epoch, _ in (r for r in rows if r[0] == key):
+                if parts and parts[-1][0] == epoch:
+                    parts[-1][1] += 1
+                else:
+                    parts.append([epoch, 1])
+            best, run, last = None, [], None
+            for epoch, n in parts:
+                run = ([*run, epoch] if run and last == epoch - 1 else [epoch]) if n >= 2 else []
+                last = epoch
+                if run and (best is None or len(run) > best[0]):
+                    best = (len(run), run[0], run[-1])
+            want[key] = best
+        got = {r.k: (r.run_seconds, r.run_start, r.run_end) for r in windows.arrival_runs(spark.createDataFrame(rows, "k string, epoch long, row long"), "k", 2).collect()}
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_runs_cross_midnight(spark):
+    seconds = [86_390 + i for i in range(20)] + [200_000 + i for i in range(12)] + [3 * 86_400 - 1, 3 * 86_400]
+    frame = spark.createDataFrame([(s,) for s in seconds], "epoch long")
+    assert tuple(windows.longest_run(frame, []).first()) == (20, 86_390, 86_409)
+    keyed = frame.selectExpr("'x' as ip", "epoch").unionByName(spark.createDataFrame([("y", 5)], "ip string, epoch long"))
+    assert {tuple(r) for r in windows.longest_run(keyed, ["ip"]).collect()} == {("x", 20, 86_390, 86_409), ("y", 1, 5, 5)}
+
+
+def test_display():
+    from logsieve.sinks import display as d
+
+    assert [d.size(n) for n in (5, 2048, 3 << 20, 5 << 30)] == ["5 B", "2.0 KiB", "3.0 MiB", "5.0 GiB"]
+    assert d.when("15/Jan/2024:14:30:00 +0000") == "15/Jan 14:30:00" and d.when("2024-01-15T14:30:00.000Z") == "01-15 14:30:00" and d.when("x" * 20) == "x" * 15
+    assert [d.fitted("a  b\nc", w) for w in (0, 3, 5)] == ["", "a b", "a b c"] and d.fitted("abcdefgh", 6) == "abc..."
+    assert d.wrapped("abcde", 2) == ["ab", "cd", "e"] and d.file_part(" /a b?/") == "a_b" and d.file_part("//") == "unknown"
+
+
+def test_storage_and_export(spark, tmp_path, monkeypatch):
+    from logsieve import cli, stored
+    from logsieve.sinks import export
+
+    kept = stored.keep(spark.range(3), "sweep-test")
+    assert stored.sweep(spark, older_than_hours=-1) >= 0 and kept.count() == 3  # what this process made stays
+    log = spark.range(6000).selectExpr(*[f"id as {c}" for c in export.COLUMNS])
+    with pytest.raises(InterruptedError):
+        export.export(log, str(tmp_path / "x.csv"), "csv", stop=lambda: True)
+    assert not list(tmp_path.iterdir())
+    assert '"lines": [' in export.pretty(log.limit(1).collect())
+    with pytest.raises(SystemExit) as e:
+        cli.parser().parse_args(["--version"])
+    assert e.value.code == 0
+    for bad in (["--top", "0"], ["--since", "soon"], ["--json", "--html"]):
+        with pytest.raises(SystemExit):
+            cli.parser().parse_args(bad)
+
+
+def test_large_archives_are_read_from_storage(spark, tmp_path, monkeypatch):
+    from logsieve.sources import archives
+
+    monkeypatch.setattr(archives, "WHOLE", 10)
+    for ending in (".zip", ".tar.gz"):
+        path = str(tmp_path / f"a{ending}")
+        archives.write_archive(path, "logs/access.log", [f"line {i}" for i in range(20_000)])
+        rows = archives.read_archives(spark, [path]).collect()
+        assert [r.value for r in sorted(rows, key=lambda r: r.place)] == [f"line {i}" for i in range(20_000)]
