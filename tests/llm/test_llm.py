@@ -706,3 +706,51 @@ def test_pipeline(spark):
             assert left == {c for _, c, _ in brute_near(sorted(before.items()))}
     last = corpus_pipeline.STAGES[-1][1](spark, frame, SF)
     assert last.filter("decoded").count() == frame.count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null, repeated and unsorted ids, null and empty texts, copies, near copies and benchmark passages: the whole pipeline
+    against a plain model of its stages."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    base = [" ".join(f"w{rnd.randrange(500)}" for _ in range(50)) for _ in range(30)]
+    item = "which of the seven rivers that cross the old town runs under the stone bridge near the mill"
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(rnd.choice([None, 3, 100 + k]), rnd.choice(base)) for k in range(25)]  # exact copies, some with null or repeated ids
+    rows += [(rnd.choice([None, 5, 200 + k]), base[k] + " end") for k in range(10)]  # near copies
+    rows += [(300, item), (5, f"{base[12][:40]} {item}"), (None, item.upper()), (301, item.replace("seven", "eight"))]
+    rows += [(400, None), (401, ""), (None, None), (402, "12 34"), (403, "x " * 30_000), (404, "one unlike any other"), (404, "one unlike any other"), (None, "a null id of its own"), (None, "a second null id")]
+    rnd.shuffle(rows)
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    # language ID: texts without a letter go (to the model a text of numbers has none)
+    left = [(i, t) for i, t in rows if t and re.search("[a-z]", t.lower())]
+    # exact: of equal texts one row with the largest id
+    exact = {}
+    for i, t in left:
+        exact[t] = max(exact.get(t, -1), -1 if i is None else i)
+    # near: of each class the least id, null ids last
+    texts = sorted(exact.items())
+    classes = collections.defaultdict(list)
+    for n, c, _ in brute_near([(n, t) for n, (t, _) in enumerate(texts)]):
+        classes[c].append(texts[n])
+    near = [min(g, key=lambda x: (x[1] < 0, x[1])) for g in classes.values()]
+    words_of = lambda t: re.findall("[0-9a-z\u0080-\U0010ffff]+", t.lower())
+    windows = {tuple(words_of(item)[k : k + 13]) for k in range(len(words_of(item)) - 12)}
+    clean = [(t, i) for t, i in near if not any(tuple(words_of(t)[k : k + 13]) in windows for k in range(max(0, len(words_of(t)) - 12)))]
+    assert len(clean) < len(near) < len(texts) < len(left) < len(rows)
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = sorted((i, len(ids := model.encode(t)), zlib.crc32(np.array(ids, "<u4").tobytes())) for t, i in clean)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want and all(r.decoded for r in got)
+
+    # empty tables, and documents that nothing is known about
+    frame.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
