@@ -6,8 +6,7 @@ straight through, without a shuffle.  Only the other rows - all repeated ones an
 as (hash, id), never with their text.
 
 The filter has `bits_per_row` bits a row and at most `max_bits` (64 MB), so what is broadcast is bounded.
-Where the rows are so many that the bounded filter would be more than half full it is not built, and all
-(hash, id) rows shuffle: the result is the same.
+More rows than such a filter is for are dealt to groups by their hash, and each group has a filter of its own.
 
 Defined results: a null text counts as empty; texts are equal when identical; of equal texts the row with the
 largest id stays (null ids are smallest; of rows that share id and text one stays); an empty table gives an empty
@@ -84,10 +83,13 @@ def repeated_bits(digests: DataFrame, bits: int, k: int) -> np.ndarray:
     return out
 
 
-def flag_repeats(digests: DataFrame, bits: int, k: int) -> DataFrame:
-    """Adds `maybe`: whether another row may have the same hash."""
+def flag_repeats(digests: DataFrame, bits: int, k: int, held: list | None = None) -> DataFrame:
+    """Adds `maybe`: whether another row may have the same hash.  The filter's broadcast is appended to `held`."""
     filt = digests.sparkSession.sparkContext.broadcast(repeated_bits(digests, bits, k))
 
+    if held is not None:
+        held.append(filt)
+
     def probe(batches):
         table = filt.value
         for batch in batches:
@@ -100,6 +102,26 @@ def flag_repeats(digests: DataFrame, bits: int, k: int) -> DataFrame:
     return digests.mapInArrow(probe, f"{kinds}, maybe boolean")
 
 
+def _flagged(digests: DataFrame, bits: int, k: int, groups: int) -> DataFrame:
+    """digests with `maybe`.  More rows than one filter holds are dealt to groups by their hash; equal hashes are in one
+    group, and each group has a filter of its own, one after the other."""
+    if groups <= 1:
+        return shared.keep(flag_repeats(digests, bits, k), "flagged")
+    spark = digests.sparkSession
+    dealt, out = shared.scratch(spark, "digest-groups"), shared.scratch(spark, "flagged-groups")
+    # the last bytes of a hash choose the group, the first ones the bits
+    group = F.pmod(F.conv(F.hex(F.substring("sha", 25, 7)), 16, 10).cast("long"), F.lit(groups))
+    digests.withColumn("__ls_group", group).write.partitionBy("__ls_group").parquet(dealt)
+    read = spark.read.schema(digests.schema)
+    for n in range(groups):
+        path = f"{dealt}/__ls_group={n}"
+        if shared.exists(spark, path):
+            held: list = []
+            flag_repeats(read.parquet(path), bits, k, held).write.mode("append").parquet(out)
+            held[0].destroy()
+    return spark.read.schema(digests.schema.add("maybe", "boolean")).parquet(out)
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 3, max_bits: int = 1 << 29,
     with_column: str | None = None,
@@ -115,10 +137,7 @@ def exact_dedup(
     bits = CHUNK
     while bits < bits_per_row * total and bits < max_bits:
         bits *= 2
-    if total * hashes > bits:  # the bounded filter would be over half full
-        flagged = digests.withColumn("maybe", F.lit(True))
-    else:
-        flagged = shared.keep(flag_repeats(digests, bits, hashes), "flagged")
+    flagged = _flagged(digests, bits, hashes, -(-bits_per_row * total // bits))
     alone = flagged.filter(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", *more
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..stored import keep, release, remove, scratch, shared_folder  # noqa: F401
+from ..stored import exists, keep, release, remove, scratch, shared_folder  # noqa: F401
 
 #: A key with this share of the rows counts as hot; so there are at most HOT_KEYS hot keys.
 HOT_KEYS = 1000

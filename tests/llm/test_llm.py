@@ -195,7 +195,7 @@ def test_pii_time_grows_with_the_text():
 # ---- 3 ---------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("options", [{}, {"max_bits": 1 << 3}])
+@pytest.mark.parametrize("options", [{}, {"max_bits": 1 << 3}, {"max_bits": 1 << 16, "bits_per_row": 1 << 14}])
 def test_exact_dedup(spark, options):
     got = sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs(spark, ODD), **options).collect())
     assert len(got) == len(ODD)
