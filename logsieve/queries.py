@@ -28,8 +28,9 @@ _FOR_PROFILES = ("ip", "path", "epoch", "status", "method", "ua")
 
 
 def _stored(spark, d, *columns):
-    """Columns of numbered entries, in a table."""
-    return stored.keep(L(spark, d).select(*columns), "entries")
+    """Columns of numbered entries, in a table; lines are parsed once, and numbered from what was parsed."""
+    parsed = K(spark, d, *dict.fromkeys(("k", "epoch", *(c for c in columns if c != "row"))))
+    return stored.keep(parse.numbered_by_time(parsed).select(*columns), "numbered")
 
 
 def _register(name: str, sql: str | None = None):
@@ -305,8 +306,7 @@ _register("scanner_ips", f"{_E} SELECT ip, arg_min({_case('ua', AG.SCANNERS)}, r
 
 
 def _fake_bots(e):
-    profiles = stored.keep(A.ip_profiles(e), "profiles")
-    found = B.fake_bots(profiles, A.known_actors(e), B.Ranges().crawlers(profiles.select("ip")))
+    found = B.fake_bots(A.ip_profiles(e), A.known_actors(e), B.Ranges().crawlers(e.select("ip").distinct()))
     return found.select("ip", "claimed", "totalRequests", "pathCount")
 
 
