@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import stored
 from .operators import parse
@@ -45,6 +45,11 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("k", line.alias("value"))
 
 
+def second_of_number() -> Column:
+    """The epoch of the line of event k."""
+    return F.expr(_expressions("div")["epoch"])
+
+
 def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed entries of the whole log, for what does not look at row numbers: these take a second pass and a shuffle."""
     return parse.enriched(parse.entries(log_lines(spark, sf_dir), parse.BUILT_IN[0]).filter("ok").drop("ok"))
