@@ -258,6 +258,11 @@ def bot_rollup(entries: DataFrame, actors: DataFrame, t: Thresholds = DEFAULT) -
     return paths.join(minutes, "bot").join(ips, "bot").withColumnRenamed("bot", "botName")
 
 
+def ordered_bots(bots: DataFrame) -> DataFrame:
+    """Bots by requests, most first, then by name."""
+    return bots.orderBy(F.desc("requests"), "botName")
+
+
 def subnet_seconds(entries: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """subnet, epoch, n, ips."""
     by_ip = ip_seconds(entries).withColumn("subnet", S.subnet_of(F.col("ip"))).filter("subnet is not null")

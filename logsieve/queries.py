@@ -460,6 +460,31 @@ def _fingerprints(spark, d):
     return A.fingerprint_hits(e.withColumn("path", path), P.FINGERPRINT_PATHS)
 
 
+
+#: Agents by k % 9, so that clients change from one bot or scanner to the next.
+_CHANGED = {1: "ClaudeBot/1.0", 2: "nikto/2.5", 4: "Mozilla/5.0 (compatible; PerplexityBot/1.0)", 5: "Nuclei - Open-source project", 7: "CCBot/2.0"}
+_E_AGENTS = (
+    f"WITH e0 AS {corpus.sql_log()}, e AS (SELECT * REPLACE (CASE k % 9 " + " ".join(f"WHEN {n} THEN '{ua}'" for n, ua in _CHANGED.items()) + " ELSE ua END AS ua) FROM e0)"
+)
+
+
+def _changed_agents(spark, d):
+    e = _stored(spark, d, "k", "ip", "ua", "row", "epoch", "path", "status")
+    agents = F.create_map(*[F.lit(x) for pair in _CHANGED.items() for x in pair])
+    return e.withColumn("ua", F.coalesce(F.try_element_at(agents, (F.col("k") % 9).cast("int")), F.col("ua")))
+
+
+def _ordered_bots(spark, d):
+    e = _changed_agents(spark, d)
+    ordered = A.ordered_bots(A.bot_rollup(e, A.known_actors(e))).select(*_BOT_COLUMNS)
+    return _places(spark, ordered.withColumnRenamed("botName", "id"), *_BOT_COLUMNS[1:]).withColumnRenamed("id", "botName")
+
+
+_register("ai_bots_in_order", f'{_E_AGENTS}, {_STICKY} SELECT *, row_number() OVER (ORDER BY requests DESC, "botName") AS place FROM bs')(_ordered_bots)
+_register("scanners_in_turn", f"{_E_AGENTS} SELECT ip, arg_min({_case('ua', AG.SCANNERS)}, row) AS scanner FROM e WHERE {_case('ua', AG.SCANNERS)} IS NOT NULL GROUP BY ip")(
+    lambda spark, d: A.known_actors(_changed_agents(spark, d)).filter("scanner is not null").select("ip", "scanner")
+)
+
 # ---- order, samples, lookups -------------------------------------------------------------------------------------
 
 _KIND_WEIGHT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in scoring.KINDS.items()) + " END"
@@ -469,10 +494,10 @@ _register(
 )(lambda spark, d: _places(spark, analysis.Analysis(L(spark, d)).incidents().select("id")))
 
 
-def _places(spark, ordered):
+def _places(spark, ordered, *columns):
     """id and the place at which it comes when the frame is read in order: partitions of a sorted frame are in order."""
     kept = stored.keep(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
-    return kept.select("id", F.row_number().over(Window.orderBy("at")).alias("place"))
+    return kept.select("id", *columns, F.row_number().over(Window.orderBy("at")).alias("place"))
 
 
 _register(

@@ -37,7 +37,7 @@ def build(analysis: Analysis, summary: DataFrame, inputs: list[str], formats: li
     sample rows an incident."""
     from pyspark.sql import functions as F
 
-    bots = analysis.bots.orderBy(F.desc("requests"), "botName").select(
+    bots = A.ordered_bots(analysis.bots).select(
         "botName", "requests", "ipCount", "pathCount", "requestedRobotsTxt", S.iso_of(F.col("firstSeen")).alias("firstSeen"), S.iso_of(F.col("lastSeen")).alias("lastSeen")
     )
     report = {
