@@ -263,7 +263,7 @@ def ordered_bots(bots: DataFrame) -> DataFrame:
     return bots.orderBy(F.desc("requests"), "botName")
 
 
-def subnet_seconds(entries: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """subnet, epoch, n, ips."""
-    by_ip = ip_seconds(entries).withColumn("subnet", S.subnet_of(F.col("ip"))).filter("subnet is not null")
+def subnet_seconds(entries: DataFrame, t: Thresholds = DEFAULT, subnet=S.subnet_of) -> DataFrame:
+    """subnet, epoch, n, ips.  What is no valid address is left out, or counted with subnet=S.subnet_or_text."""
+    by_ip = ip_seconds(entries).withColumn("subnet", subnet(F.col("ip"))).filter("subnet is not null")
     return by_ip.groupBy("subnet", "epoch").agg(F.sum("n").alias("n"), F.least(F.count("*"), F.lit(t.cap_subnet_ips)).cast("bigint").alias("ips"))

@@ -341,3 +341,32 @@ def test_large_archives_are_read_from_storage(spark, tmp_path, monkeypatch):
         archives.write_archive(path, "logs/access.log", [f"line {i}" for i in range(20_000)])
         rows = archives.read_archives(spark, [path]).collect()
         assert [r.value for r in sorted(rows, key=lambda r: r.place)] == [f"line {i}" for i in range(20_000)]
+
+
+def long_addresses(spark, folder):
+    """Events of users of one to six digits: the log's IPv6 addresses of 10013 and more have a group of five digits, which is not valid."""
+    users = [0, 17, 3400, 9996, 10013, 10013, 10030, 89998, 100011, 1, 27]
+    rows = [(4 * i + j, u, "view", 1.5) for i, u in enumerate(users) for j in (0, 2)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
+def same_as_sql(spark, folder, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    c.execute(f"create table wanted as {entry.oracle_sql()[name]}")
+    names = [x[0] for x in c.execute("describe wanted").fetchall()]
+    got = [tuple(r[n] for n in names) for r in entry.queries()[name](spark, str(folder)).collect()]
+    assert sorted(got, key=str) == sorted(c.execute("select * from wanted").fetchall(), key=str)
+    return got
+
+
+def test_subnet_seconds_of_long_addresses(spark, tmp_path):
+    long_addresses(spark, tmp_path)
+    got = same_as_sql(spark, tmp_path, "subnet_seconds")
+    assert sum(r[2] for r in got) == 22 and "2001:db8:10013::/48" in {r[0] for r in got}
+    valid = A.subnet_seconds(parsed(spark, [line("2001:db8:10013::1"), line("2001:db8:9996::1"), line("host")])).collect()
+    assert [(r.subnet, r.n, r.ips) for r in valid] == [("2001:db8:9996::/48", 1, 1)]  # the engine's own rule, as before
