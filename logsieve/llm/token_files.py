@@ -29,42 +29,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import shared, words
-from .units import Memo
+from .units import Memo, give_back
 
 MAGIC = b"LSVB0001"
 #: Lengths of the four values of a control byte.
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
+#: Ids that a numpy pass of pack() and unpack() takes at once, a multiple of four.
+_STEP = 1 << 18
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rank table, control bytes, data bytes)."""
-    counts = np.bincount(ids)  # as long as the vocabulary
+    counts = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)  # as long as the vocabulary
+    for i in range(0, len(ids), _STEP):
+        counts += np.bincount(ids[i : i + _STEP], minlength=len(counts))
     values = np.flatnonzero(counts)
     order = np.lexsort((values, -counts[values]))
     rank_of = np.empty(len(counts), np.uint32)
     rank_of[values[order]] = np.arange(len(values), dtype=np.uint32)
-    ranks = rank_of[ids]
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = size - 1
-    four = padded.reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = raw[np.arange(4) < size[:, None]]
-    return values[order].astype("<u4"), control.astype(np.uint8), data
+    controls, datas = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
+    for i in range(0, len(ids), _STEP):
+        ranks = rank_of[ids[i : i + _STEP]]
+        size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+        padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
+        padded[: len(ranks)] = size - 1
+        four = padded.reshape(-1, 4)
+        controls.append((four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8))
+        raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
+        datas.append(raw[np.arange(4) < size[:, None]])
+    return values[order].astype("<u4"), np.concatenate(controls), np.concatenate(datas)
 
 
 def unpack(table: np.ndarray, control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """ids, as they were given to pack()."""
-    size = _LENGTHS[control].ravel()[:n].astype(np.int64)
-    at = np.cumsum(size) - size
-    ranks = data[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        longer = np.flatnonzero(size > k)
-        if not len(longer):
-            break
-        ranks[longer] |= data[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
-    return table[ranks]
+    out, used = np.empty(n, table.dtype), 0
+    for i in range(0, n, _STEP):
+        size = _LENGTHS[control[i // 4 : (i + _STEP) // 4]].ravel()[: n - i].astype(np.int64)
+        at = used + np.cumsum(size) - size
+        used += int(size.sum())
+        ranks = data[at].astype(np.uint32)
+        for k in (1, 2, 3):
+            longer = np.flatnonzero(size > k)
+            if not len(longer):
+                break
+            ranks[longer] |= data[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+        out[i : i + _STEP] = table[ranks]
+    return out
 
 
 def to_file(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -172,7 +182,7 @@ def encoder(path: str) -> Encoder:
 
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-    file_tokens: int = 4_000_000, batch_bytes: int = 2 * words.SLICE,
+    file_tokens: int = 4_000_000, batch_bytes: int = words.SLICE,
 ) -> DataFrame:
     """Write the files under `folder` and return the manifest: part, number, path, docs, tokens."""
 
@@ -199,10 +209,14 @@ def write_tokens(
                 held_lengths.append(lengths)
                 held_ids.append(ids)
                 held += len(ids)
+                del texts, ids, lengths
                 if held >= file_tokens:
                     yield flush()
+            del batch  # else it stays while the next one comes in
+            give_back()
         if held_docs:
             yield flush()
+            give_back()
 
     # rows that share id and text are the same to the files, and a number of their own spreads them over tasks
     text = shared.text_of(text_col)
@@ -248,6 +262,8 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     if with_ids:
                         out["ids"] = pa.array([x.astype(np.int32) for x in pieces[a:b]], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_pydict(out)
+                del ids, raw, pieces
+                give_back()
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

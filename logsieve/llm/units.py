@@ -5,10 +5,12 @@ the byte-level pattern always starts a new token.  Texts with any other white sp
 
 from __future__ import annotations
 
+import ctypes
 import re
 import weakref
 
 import numpy as np
+import pyarrow as pa
 
 #: White space other than space and newline, as Python's str.isspace() has it.
 _OTHER_SPACE = [chr(i) for i in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -46,12 +48,31 @@ def word_units(text: str) -> list[str]:
 
 
 _LIVE: weakref.WeakSet = weakref.WeakSet()
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def give_back() -> None:
+    """Memory that the allocators keep for later goes back to the machine: workers outlive their tasks, and an executor's
+    limit counts what all of its workers hold."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def forget() -> None:
     """Empty all memos of this process: called where a reused worker begins other work, which needs the memory."""
     for memo in list(_LIVE):
         memo.clear()
+    give_back()
+
+
+def grown(values: np.ndarray, least: int) -> np.ndarray:
+    """values in an array of at least that length.  What is added is not written, so it takes no memory yet."""
+    if len(values) >= least:
+        return values
+    out = np.empty(max(least, 2 * len(values)), values.dtype)
+    out[: len(values)] = values
+    return out
 
 
 class Memo:
@@ -103,10 +124,8 @@ class Memo:
         ids, sizes = encode(numbers.fresh)
         where = np.array(numbers.fresh_numbers)
         numbers.fresh, numbers.fresh_numbers = [], []
-        while len(self.at) < self.count:
-            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
-        while len(self.ids) < self.used + len(ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.at, self.size = grown(self.at, self.count), grown(self.size, self.count)
+        self.ids = grown(self.ids, self.used + len(ids))
         self.ids[self.used : self.used + len(ids)] = ids
         self.size[where] = sizes
         self.at[where] = self.used + np.cumsum(sizes, dtype=np.int64) - sizes

@@ -4,9 +4,11 @@ import collections
 import io
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +285,22 @@ def test_pack_round_trip():
     assert back[0] == [5, None] and back[1].tolist() == [2, 1] and back[2].tolist() == [7, 8, 7]
 
 
+def test_pack_needs_little_memory():
+    """Beside the ids and the result a file of any size takes a few MB."""
+    ids = np.random.default_rng(1).zipf(1.3, 3_000_001).clip(1, 70_000).astype(np.int32)
+    tracemalloc.start()
+    try:
+        packed = token_files.pack(ids)
+        most = tracemalloc.get_traced_memory()[1] / len(ids)
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        back = token_files.unpack(*packed, len(ids))
+        more = (tracemalloc.get_traced_memory()[1] - before) / len(ids)
+    finally:
+        tracemalloc.stop()
+    assert (back == ids).all() and most < 8 and more < 10, (most, more)
+
+
 # ---- 6 and 9 ---------------------------------------------------------------------------------------------------
 
 
