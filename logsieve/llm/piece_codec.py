@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .units import Memo
+from .units import Memo, give_back
 
 MARK = "\u2581"
 #: Pairs of pieces that are remembered.
@@ -212,7 +212,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches):
         pieces, memo = codec(model)
         for batch in batches:
-            for first, texts in words.parts(batch.column(1), 2 * words.SLICE):
+            for first, texts in words.parts(batch.column(1)):
                 given = [x or "" for x in texts.to_pylist()]
                 ids, lengths = memo.encode(given)
                 back = pieces.decode(ids, lengths)
@@ -225,6 +225,9 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 if with_ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
+                del texts, given, ids, back, raw, out
+            del batch  # else it stays while the next one comes in
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded boolean" + ", ids array<int>" * with_ids)

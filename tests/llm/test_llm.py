@@ -5,6 +5,7 @@ import io
 import random
 import re
 import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -232,6 +233,29 @@ def test_pieces_against_library(spark):
     assert len(got) == len(ODD) and all(r.decoded and len(r.ids) == r.n_tokens and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
 
 
+def test_pieces_hold_one_batch(spark):
+    """A batch is gone before the next one comes in."""
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    seen = []
+
+    def batches():
+        for i in range(3):
+            held = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["one two"]})]
+            seen.append(weakref.ref(held[0]))
+            yield held.pop()
+            assert seen[-1]() is None
+
+    out = piece_codec.encode_texts(Docs(), P.path("piece_bpe_32k.model"))(batches())
+    assert [b.column(0).to_pylist() for b in out] == [[0], [1], [2]]
+
+
 def test_units_are_whole():
     for t in ["a b", " a", "a  b", "a\nb c", "a\n\nb", "a \nb", "x y z", "", "a ", "é b\tc d"]:
         assert "".join(units.word_units(t)) == t
